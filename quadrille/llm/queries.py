@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import decontamination, exact_dedup, language_id, packing, quality, sharding, token_output
+from quadrille.llm import decontamination, exact_dedup, language_id, ngram_join, packing, quality, sharding, token_output
 from quadrille.llm.workspace import Workspace
 
 
@@ -53,6 +53,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"), 24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
+    "op6_ngram_join": op6_ngram_join,
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_output": op10_token_output,
