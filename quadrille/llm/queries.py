@@ -71,7 +71,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "tokens")
     path = work.path("orc")
     token_output.write_tokens(table(spark, sf_dir, "documents"), f"{work.root}/orc", tokenizer("word_bpe_49k.json"), end_id=2)
-    return token_output.checksums(token_output.read_tokens(spark, f"{work.root}/orc"))
+    return token_output.read_checksums(spark, f"{work.root}/orc")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

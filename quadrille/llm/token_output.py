@@ -52,24 +52,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe
     ranged.mapInArrow(_encode_task(tokenizer, end_id), FILE_SCHEMA).write.mode("overwrite").options(**options).orc(path)
 
 
-def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id, start (ids of all earlier rows of the whole output), n_tokens, ids; with doc_ids, stripes without them are skipped."""
-    files = spark.read.schema(FILE_SCHEMA).orc(path)
+def _with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds the ids of all earlier files to start_in_part; `rows` are few bytes each or already pruned."""
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     bases = totals.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    rows = files if doc_ids is None else files.where(F.col("doc_id").isin(doc_ids))
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    rest = [c for c in rows.columns if c not in ("doc_id", "part", "start_in_part")]
+    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), *rest)
 
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """The rows of read_tokens with the CRC-32 of their ids (little-endian uint32) in place of the ids."""
+def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """doc_id, start (ids of all earlier rows of the whole output), n_tokens, ids; with doc_ids, stripes without them are skipped."""
+    files = spark.read.schema(FILE_SCHEMA).orc(path)
+    return _with_starts(files if doc_ids is None else files.where(F.col("doc_id").isin(doc_ids)), files)
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and the CRC-32 of the ids (little-endian uint32), all from the ids as read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
-            flat, off = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat, off = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(sizes)])
             crc = [zlib.crc32(flat[off[i] : off[i + 1]]) for i in range(len(lists))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.schema(FILE_SCHEMA).orc(path)
+    summed = files.select("doc_id", "part", "start_in_part", "ids").mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    return _with_starts(summed, files)

@@ -1,38 +1,72 @@
-"""Tokenising whole columns: each distinct piece of white-space-led text is encoded once.
-
-The tokenizers served here never merge across the start of a run of ASCII white
-space, so a text may be cut before each such run and the ids of the parts
-joined. Parts repeat, so a worker keeps the ids of those it has seen. Rows with
-any other white space (vertical tab, no-break space, ...), for which a cut may
-fall inside a run, are encoded whole.
+"""Tokenising whole columns: each distinct part of a text is encoded once by a worker.
+
+For byte-level BPE files whose splitting pattern is one of the two below, no
+match crosses the start of a run of ASCII white space, nor the place between a
+letter and an ASCII mark other than an apostrophe. A text may be cut there and
+the ids of the parts joined. Parts repeat, so a worker keeps the ids of those it
+has seen, and a part that is one word of Latin letters goes straight to the
+library's BPE model. Rows with any other white space (vertical tab, no-break
+space, ...), for which a cut may fall inside a run, and all rows of any other
+kind of file are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
-from quadrille.llm.kernel import byte_class, prefix_sums, ragged, span_hash
+from quadrille.llm.kernel import LOWER, byte_class, prefix_sums, ragged, span_hash
+from quadrille.llm.memo import KeyTable, Rows
 
 _SPACE = byte_class(b" \t\n\r")
-#: Parts a worker remembers before it starts anew.
-MEMO_PARTS = 600_000
+_LETTER = byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_MARK = byte_class(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
+#: Parts that a worker remembers before it starts anew.
+MEMO_PARTS = 2_000_000
+# The patterns that allow cuts (fixed values: those of the tokenizer files).
+_SPLITS_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def other_space(data: np.ndarray) -> np.ndarray:
     """Positions where white space outside of space, tab, line feed and carriage return starts."""
     found = [np.flatnonzero((data == 0x0B) | (data == 0x0C))]
-    for lead, rest in ((0xC2, lambda b, _: (b == 0x85) | (b == 0xA0)), (0xE1, lambda b, c: (b == 0x9A) & (c == 0x80)), (0xE3, lambda b, c: (b == 0x80) & (c == 0x80))):
+
+    def after(lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(data == lead)
-        b, c = data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
-        found.append(at[rest(b, c)])
-    at = np.flatnonzero(data == 0xE2)
-    b, c = data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+        return at, data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+
+    at, b, _ = after(0xC2)
+    found.append(at[(b == 0x85) | (b == 0xA0)])
+    at, b, c = after(0xE1)
+    found.append(at[(b == 0x9A) & (c == 0x80)])
+    at, b, c = after(0xE3)
+    found.append(at[(b == 0x80) & (c == 0x80)])
+    at, b, c = after(0xE2)
     found.append(at[((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F))])
     return np.concatenate(found)
 
 
+def latin_ends(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is the last one of a letter up to U+024F; U+0130, which lower-cases to a letter and a mark, is left out."""
+    out = _LETTER[data]
+    lead, tail = data[:-1], data[1:]
+    out[1:] |= (tail >= 0x80) & (tail < 0xC0) & (((lead >= 0xC4) & (lead <= 0xC8) & ~((lead == 0xC4) & (tail == 0xB0))) | ((lead == 0xC3) & (tail != 0x97) & (tail != 0xB7)) | ((lead == 0xC9) & (tail <= 0x8F)))
+    return out
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level BPE writes for each byte: itself, or the next free one from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out, more = {b: chr(b) for b in shown}, 0x100
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(more)
+            more += 1
+    return [out[b] for b in range(256)]
+
+
 class Encoder:
     """Encodes Arrow text buffers with a tokenizer file of the `tokenizers` library."""
 
@@ -42,65 +76,80 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        spec = json.loads(self.tokenizer.to_str())
+        before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        steps = [x.get("type") for x in norm.get("normalizers", [])]
+        inner = before.get("pretokenizers", [])
+        self.led = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not norm
+        self.lowers = len(inner) == 2 and inner[0].get("pattern", {}).get("Regex") == _SPLITS_WORDS and inner[0].get("behavior") == "Removed" and inner[1].get("type") == "ByteLevel" and steps == ["NFC", "Replace", "Lowercase"]
+        self.parts = (self.led or self.lowers) and spec["model"].get("type") == "BPE"
+        self.letters = _byte_letters()
         self.most = memo_parts
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = self._ids(texts)
+        self.table, self.flat = KeyTable(), Rows(np.uint32, 1 << 16)
+        self.begin, self.length = Rows(np.int64), Rows(np.int32)
+
+    def _word(self, text: str) -> list[int] | None:
+        """The ids of one Latin word (led by a space, if that counts), or None for any other part."""
+        word = text[1:] if text[:1] == " " else text
+        if not word.isalpha() or max(word) > "ɏ":
+            return None
+        if self.lowers:
+            text = word.lower()
+            if not text.isalpha() or max(text) > "ɏ":
+                return None
+        mapped = "".join([self.letters[b] for b in text.encode()]) if self.led or not text.isascii() else text
+        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        out = [self._word(t) for t in texts] if self.parts else [None] * len(texts)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
+        found = self.ids(texts)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        n = len(self.index)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(found) > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[n : n + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(found)] = lengths
-        self.used += len(ids)
-        self.index.update(zip(hashes, range(n, n + len(found)), strict=True))
+        self.begin.extend(self.flat.n + np.cumsum(lengths) - lengths)
+        self.length.extend(lengths)
+        self.flat.extend(np.array([i for x in found for i in x], np.uint32))
+        return self.table.add(keys)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after the other, and where each row's start (with the end)."""
         n = len(off) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        if len(self.index) > self.most:
+        if self.table.n > self.most:
             self.forget()
-        space = _SPACE[data]
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
+        cut = np.zeros(len(data), bool)
+        if self.parts:
+            space = _SPACE[data]
+            cut[1:] = (space[1:] & ~space[:-1]) | (_MARK[data[1:]] & latin_ends(data)[:-1])
         full = np.flatnonzero(off[1:] > off[:-1])
         cut[off[full]] = True
         starts = np.flatnonzero(cut)
         rows = np.searchsorted(off, starts, "right") - 1
-        if len(odd := other_space(data)):
+        if self.parts and len(odd := other_space(data)):
             whole = np.zeros(n, bool)
             whole[np.searchsorted(off, odd, "right") - 1] = True
             keep = ~whole[rows] | (starts == off[rows])
             starts, rows = starts[keep], rows[keep]
         ends = np.append(starts[1:], len(data))
-        hashes, first, inverse = np.unique(span_hash(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        get = self.index.get
-        at = [get(h, -1) for h in keys]
-        new = [i for i, x in enumerate(at) if x < 0]
-        if new:
+        seen = LOWER[data] if self.parts and self.lowers else data
+        hashes = span_hash(prefix_sums(seen), starts, ends)
+        part = self.table.find(hashes)
+        new = np.flatnonzero(part < 0)
+        if len(new):
+            keys, first, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in first[new].tolist()])
-            for i in new:
-                at[i] = self.index[keys[i]]
-        part = np.array(at, np.int64)[inverse]
-        lengths = self.length[part]
-        ids = self.flat[ragged(self.begin[part], lengths)]
+            at = new[first]
+            part[new] = self._learn(keys, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])[inverse]
+        lengths = self.length.data[part].astype(np.int64)
+        ids = self.flat.data[ragged(self.begin.data[part], lengths)]
         per_row = np.bincount(rows, weights=lengths, minlength=n).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(per_row)])
 
