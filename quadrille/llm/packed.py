@@ -51,7 +51,9 @@ def narrow(keys: np.ndarray) -> np.ndarray:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
 
 
-def wide(raw: bytes, width: int) -> np.ndarray:
+def wide(raw: bytes, width: int | np.dtype) -> np.ndarray:
+    if not isinstance(width, int):
+        return np.frombuffer(raw, width)
     if width == 8:
         return np.frombuffer(raw, "<u8")
     out = np.zeros((len(raw) // width, 8), np.uint8)
@@ -60,7 +62,7 @@ def wide(raw: bytes, width: int) -> np.ndarray:
 
 
 def rows_of(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, kind: int, width: int = 8) -> list[tuple]:
-    """One row for each bucket that occurs."""
+    """One row for each bucket that occurs; keys are numbers of `width` bytes, or records."""
     if not len(doc):
         return []
     by = np.lexsort((doc, bucket))
@@ -70,7 +72,7 @@ def rows_of(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, kind: int, wid
     for lo, hi in zip(cut, np.append(cut[1:], len(doc)), strict=True):
         d = doc[lo:hi]
         at = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        keys = key[lo:hi].astype("<u8") if width == 8 else narrow(key[lo:hi])
+        keys = key[lo:hi] if key.dtype.names else key[lo:hi].astype("<u8") if width == 8 else narrow(key[lo:hi])
         out.append((int(bucket[lo]), kind, d[at].astype("<i8").tobytes(), np.diff(np.append(at, len(d))).astype("<u4").tobytes(), keys.tobytes()))
     return out
 
@@ -84,9 +86,9 @@ def table_of(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([batch_of(rows)])
 
 
-def entries(table: pa.Table, kind: int, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def entries(table: pa.Table, kind: int, width: int | np.dtype = 8) -> tuple[np.ndarray, np.ndarray]:
     """Documents and keys of all entries of a kind."""
-    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, U64 if isinstance(width, int) else width)]
     for k, d, c, x in zip(*(table[n].to_pylist() for n in ("kind", "docs", "counts", "keys")), strict=True):
         if k == kind:
             docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
@@ -118,6 +120,6 @@ def member(rows: np.ndarray, keys: np.ndarray, docs: np.ndarray, held_docs: np.n
 
 
 def by_part(docs: DataFrame, answers: DataFrame, parts: int, fn, schema: str) -> DataFrame:
-    """Cogroup the texts (id, text) with the packed answers (bucket is the part)."""
-    left = docs.select(part_column(F.col("id"), parts).alias("part"), "id", "text").groupBy("part")
+    """Cogroup the texts (id, text and more) with the packed answers (bucket is the part)."""
+    left = docs.select(part_column(F.col("id"), parts).alias("part"), *docs.columns).groupBy("part")
     return left.cogroup(answers.groupBy("bucket")).applyInArrow(fn, schema)
