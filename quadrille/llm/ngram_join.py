@@ -10,12 +10,13 @@ shingles are indexed alone, frequent ones in pairs within their class; two
 similar sets then share at least one rare shingle or one pair, and a shingle of
 a passage that very many documents hold never makes a list of its own.
 
-Lists with at least two members become comparisons of chunks: a document belongs
-to the chunk of its longest list (split by id beyond `CHUNK` members), and two
-chunks are compared once if any list has members in both. A comparison verifies
-all its pairs by counting common shingles with matrix products, and returns a
-spanning forest of the links it finds, so a group of m similar documents yields
-fewer than m rows for each comparison. Components follow from the links.
+Lists with at least two members become comparisons of chunks: documents that
+lists connect are one chunk, or where they are more than `CHUNK`, several, which
+keep the members of a document's longest list together; two chunks are compared
+once if any list has members in both. A comparison verifies all its pairs by
+counting common shingles with matrix products, and returns a spanning forest of
+the links it finds, so a group of m similar documents yields fewer than m rows
+for each comparison. Components follow from the links.
 
 Sets are held as 64-bit hashes of shingles; equal sets are recognised by two
 64-bit sums over them.
@@ -44,7 +45,7 @@ from quadrille.llm.workspace import Workspace
 SHINGLE = 5
 PERCENT = 75
 #: Documents of one chunk; a comparison holds two.
-CHUNK = 512
+CHUNK = 256
 #: Index entries that one bucket is meant to hold, and entries of one list beyond which it is split over buckets.
 BUCKET_ENTRIES = 3_000_000
 HOT_ENTRIES = 1_000_000
@@ -378,10 +379,14 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, percent: int = PERC
     entries = rows.select("text", "id").mapInArrow(_index(order, width, percent, buckets, hot_entries), "bucket int, docs binary, sigs binary, owners binary, split binary")
     lists = work.table(entries.groupBy("bucket").applyInArrow(_lists, "sig long, doc long, df long"), "lists")
     work.release()
-    # chunks: the members of a list, split evenly by id where they are many
+    # what lists connect is compared together; where that is much, members of one list stay together
+    least = lists.groupBy("sig").agg(F.min("doc").alias("b"))
+    joined = components(work, lists.join(least, "sig").select(F.col("doc").alias("a"), "b"), "met")
     main = lists.groupBy("doc").agg(F.max(F.struct("df", "sig")).alias("m"))
-    place = F.pmod(F.xxhash64("doc"), F.ceil(F.col("m.df") / chunk))
-    chunks = work.table(main.select("doc", F.xxhash64("m.sig", place).alias("chunk")), "chunks")
+    whole = main.join(joined, main["doc"] == joined["node"], "left").select("doc", "m", F.coalesce("component", "doc").alias("whole"))
+    sizes = whole.groupBy("whole").agg(F.count("*").alias("size"))
+    place = F.xxhash64("m.sig", F.pmod(F.xxhash64("doc"), F.ceil(F.col("m.df") / chunk)))
+    chunks = work.table(whole.join(sizes, "whole").select("doc", F.xxhash64("whole", F.pmod(place, F.ceil(F.col("size") / chunk))).alias("chunk")), "chunks")
     met = lists.join(chunks, "doc").select("sig", "chunk").distinct()
     left, right = met.withColumnRenamed("chunk", "c1"), met.withColumnRenamed("chunk", "c2")
     pairs = left.join(right, "sig").where("c1 <= c2").select("c1", "c2").distinct()
