@@ -1,7 +1,9 @@
 """Jaccard self-join of word shingle sets with token-combination prefixes.
 
 Documents with equal sets form one class, held by its smallest id. Shingles are
-ordered from rare to frequent by a table of hashed counts over the whole corpus.
+ordered: those of one class alone come first (which they are is found by a packed
+shuffle of all), then the others from rare to frequent by a table of hashed
+counts over the whole corpus.
 A set of n shingles that has a partner of similarity t shares with it all but
 n - ceil(t n) of them, so it is enough to index a prefix of the order: a rare
 shingle counts as one, and of the frequent shingles of one class (a hash class
@@ -40,21 +42,24 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.components import components
 from quadrille.llm.kernel import LOWER, NOT_SPACE, U64, buffers, mix64, prefix_sums, ragged, rolling, slices, span_hash, spans
+from quadrille.llm.packed import NULL_ID, SCHEMA, batch_of, by_part, entries, member, part_of, parts_for, rows_of, table_of
 from quadrille.llm.workspace import Workspace
 
 SHINGLE = 5
 PERCENT = 75
 #: Documents of one chunk; a comparison holds two.
 CHUNK = 256
-#: Index entries that one bucket is meant to hold, and entries of one list beyond which it is split over buckets.
-BUCKET_ENTRIES = 3_000_000
+#: Shingles that one bucket is meant to hold, and entries of one list beyond which it is split over buckets.
+BUCKET_ENTRIES = 4_000_000
 HOT_ENTRIES = 1_000_000
 #: A shingle is frequent if its slot counts this many times the mean, and at least so many.
 FREQUENT_TIMES, FREQUENT_LEAST = 16, 64
 #: Shingles of one matrix product.
 COLUMNS = 8192
-NULL_ID = -(1 << 63)
-_DOC = np.dtype([("id", "<i8"), ("k1", "<u8"), ("k2", "<u8")])
+#: Shingles that a task gathers before it sends them.
+STRETCH = 2_000_000
+_OPEN, _DONE, _SPLIT = 0, 1, 2
+_DOC = np.dtype([("id", "<i8"), ("key", "<u8")])
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -144,21 +149,21 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def signatures(r: np.ndarray, h: np.ndarray, order: Order, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, signature and estimated list length of each index entry of the sets (r, h)."""
+def signatures(r: np.ndarray, h: np.ndarray, shared: np.ndarray, order: Order, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, signature and estimated list length of each index entry of the sets (r, h); shared: does another set have it?"""
     if not len(r):
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
     slot = order.of(h)
-    level = order.level[slot]
-    by = np.lexsort((h, level, r))
-    r, h, level, slot = r[by], h[by], level[by], slot[by]
+    level = np.where(shared, order.level[slot], 0)
+    by = np.lexsort((h, level, shared, r))
+    r, h, level, slot, shared = r[by], h[by], level[by], slot[by], shared[by]
     begin = np.searchsorted(r, np.arange(int(r[-1]) + 2))
     n = np.diff(begin)
     least = -(-percent * n // 100)  # the smallest size of a partner, and of the overlap with one
     need = n - least + 1
     place = np.arange(len(r)) - begin[r]
     rare = level < 64
-    alone = rare & (place < need[r])
+    alone = rare & shared & (place < need[r])
     count = order.counts[slot].astype(np.int64)
     rows, sigs, size = [r[alone]], [mix64(h[alone] ^ U64(0xA5A5A5A5A5A5A5A5))], [count[alone]]
     rares = np.bincount(r, weights=rare, minlength=len(n)).astype(np.int64)
@@ -199,53 +204,49 @@ def signatures(r: np.ndarray, h: np.ndarray, order: Order, percent: int = PERCEN
     return np.concatenate(rows), np.concatenate(sigs), np.concatenate(size)
 
 
-def _index(shared, width: int, percent: int, buckets: int, hot: int):
-    """Packed index entries, one row for each bucket and some MB of text."""
+def _share(width: int, buckets: int):
+    """Shingles by bucket; what two different sets of a stretch of documents share is settled at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
-        docs, owners, entries, sizes, held = [], [], [], [], 0
+        docs, owners, codes, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            doc, owner, sig, size = np.concatenate(docs), np.concatenate(owners), np.concatenate(entries), np.concatenate(sizes)
-            # equal sets of this stretch share the entries of the smallest id
-            by = np.lexsort((doc["id"], doc["k2"], doc["k1"]))
-            same = np.zeros(len(doc), bool)
-            same[1:] = (doc["k1"][by][1:] == doc["k1"][by][:-1]) & (doc["k2"][by][1:] == doc["k2"][by][:-1])
-            drop = np.zeros(len(doc), bool)
-            drop[by[same]] = True
-            keep = ~drop[owner]
-            owner, sig, size = owner[keep], sig[keep], size[keep]
-            salts = size // hot + 1
-            salt = (mix64(doc["id"][owner].view(U64)) % salts.astype(U64)).astype(np.int64)
-            bucket = ((sig >> U64(20)) % U64(buckets)).astype(np.int64)
-            bucket = np.where(salts > 1, (bucket + salt) % buckets, bucket)
-            by = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                mine = by[cut[b] : cut[b + 1]]
-                if len(mine):
-                    used, at = np.unique(owner[mine], return_inverse=True)
-                    rows.append((b, doc[used].tobytes(), sig[mine].astype("<u8").tobytes(), at.astype("<u4").tobytes(), np.packbits(salts[mine] > 1).tobytes()))
-            docs.clear(), owners.clear(), entries.clear(), sizes.clear()
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "docs", "sigs", "owners", "split"])
+            doc, owner, code = np.concatenate(docs), np.concatenate(owners), np.concatenate(codes)
+            docs.clear(), owners.clear(), codes.clear()
+            by = np.lexsort((doc["id"], doc["key"]))  # of equal sets the smallest id speaks
+            doc_of = np.empty(len(doc), np.int64)
+            doc_of[by] = np.arange(len(doc))
+            doc = doc[by]
+            first = np.append(True, doc["key"][1:] != doc["key"][:-1])[: len(doc)]
+            owner = doc_of[owner]
+            mine = first[owner]
+            owner, code = owner[mine], code[mine]
+            by = np.lexsort((owner, code))
+            owner, code = owner[by], code[by]
+            begin = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+            count = np.diff(np.append(begin, len(code)))
+            many = np.repeat(count > 1, count)
+            bucket = (code >> U64(40)).astype(np.int64)
+            ids = doc["id"]
+            done = rows_of(bucket[many], ids[owner[many]], code[many], _DONE)
+            keep = np.zeros(len(code), bool)
+            keep[begin] = True
+            keep[begin[count > 1] + 1] = True  # two different sets tell the others
+            return batch_of(done + rows_of(bucket[keep], owner[keep], code[keep], _OPEN, 5, doc))
 
         seen = 0
         for batch in slices(batches, "text"):
-            r, h = shingle_sets(*buffers(batch.column(0)), width)
-            row, sig, size = signatures(r, h, order, percent)
+            r, h = shingle_sets(*buffers(batch.column(1)), width)
             doc = np.zeros(batch.num_rows, _DOC)
-            doc["id"] = batch.column(1).to_numpy(zero_copy_only=False)
-            doc["k1"], doc["k2"] = set_keys(h, np.searchsorted(r, np.arange(len(doc) + 1)))
+            doc["id"] = batch.column(0).to_numpy(zero_copy_only=False)
+            k1, k2 = set_keys(h, np.searchsorted(r, np.arange(len(doc) + 1)))
+            doc["key"] = mix64(k1 ^ mix64(k2))
             docs.append(doc)
-            owners.append(row + seen)
-            entries.append(sig)
-            sizes.append(size)
+            owners.append(r + seen)
+            codes.append(_code(h, buckets))
             seen += len(doc)
-            held += len(sig)
-            if held > 1_000_000:
+            held += len(r)
+            if held > STRETCH:
                 yield flush()
                 seen = held = 0
         if docs:
@@ -254,24 +255,69 @@ def _index(shared, width: int, percent: int, buckets: int, hot: int):
     return run
 
 
+def _shared(parts: int):
+    """The shingles of a bucket that at least two different sets have, by part of the document."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        doc, packed = entries(table, _OPEN, 5, _DOC)
+        by = np.lexsort((doc["id"], doc["key"], packed))
+        doc, packed = doc[by], packed[by]
+        new = np.append(True, packed[1:] != packed[:-1])[: len(packed)]
+        other = new | np.append(True, doc["key"][1:] != doc["key"][:-1])[: len(packed)]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group, weights=other) > 1 if len(group) else np.zeros(0, bool)
+        tell = other & several[group] if len(group) else other  # of equal sets the smallest id
+        ids, code = doc["id"][tell], U64(key[0].as_py()) << U64(40) | packed[tell]
+        more, codes = entries(table, _DONE)
+        ids, code = np.concatenate([ids, more]), np.concatenate([code, codes])
+        return table_of(rows_of(part_of(ids, parts), ids, code, _DONE))
+
+    return run
+
+
+def _code(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket and 40 bits of a shingle; two shingles with one code count as shared, which costs work only."""
+    return ((h >> U64(44)) % U64(buckets)) << U64(40) | (h & U64((1 << 40) - 1))
+
+
+def _index(shared, width: int, percent: int, code_buckets: int, buckets: int, hot: int):
+    """Index entries of the documents of a part, by bucket of the signature."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+        order = shared.value
+        held_doc, held_code = entries(answers, _DONE)
+        rows = []
+        for batch in slices(texts.to_batches(), "text") if len(held_doc) else ():
+            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            r, h = shingle_sets(*buffers(batch.column(2)), width)
+            known = member(r, _code(h, code_buckets), ids, held_doc, held_code)
+            row, sig, size = signatures(r, h, known, order, percent)
+            salts = size // hot + 1
+            salt = (mix64(ids[row].view(U64)) % salts.astype(U64)).astype(np.int64)
+            bucket = ((sig >> U64(20)).astype(np.int64) + np.where(salts > 1, salt, 0)) % buckets
+            doc = np.zeros(len(ids), _DOC)
+            doc["id"] = ids
+            k1, k2 = set_keys(h, np.searchsorted(r, np.arange(len(ids) + 1)))
+            doc["key"] = mix64(k1 ^ mix64(k2))
+            split = salts > 1
+            for kind, mine in ((_OPEN, ~split), (_SPLIT, split)):
+                rows += rows_of(bucket[mine], row[mine], sig[mine], kind, 8, doc)
+        return table_of(rows)
+
+    return run
+
+
 def _lists(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Lists of at least two members (and parts of split lists); of lists with equal members one."""
-    docs, owners, sigs, split, base = [], [], [], [], 0
-    for d, s, o, x in zip(*(table[c].to_pylist() for c in ("docs", "sigs", "owners", "split")), strict=True):
-        docs.append(np.frombuffer(d, _DOC))
-        sigs.append(np.frombuffer(s, "<u8"))
-        owners.append(np.frombuffer(o, "<u4").astype(np.int64) + base)
-        split.append(np.unpackbits(np.frombuffer(x, np.uint8), count=len(sigs[-1])).astype(bool))
-        base += len(docs[-1])
-    doc, owner, sig, split = np.concatenate(docs), np.concatenate(owners), np.concatenate(sigs), np.concatenate(split)
-    # every copy of a set has the same entries, so the smallest id here is the smallest of all
-    by = np.lexsort((doc["id"], doc["k2"], doc["k1"]))
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc["k1"][by][1:] != doc["k1"][by][:-1]) | (doc["k2"][by][1:] != doc["k2"][by][:-1])
-    first = np.flatnonzero(new)
-    node = np.empty(len(doc), np.int64)
-    node[by] = doc["id"][by][first[np.cumsum(new) - 1]]
-    member = node[owner]
+    doc, sig = entries(table, _OPEN, 8, _DOC)
+    cut, cut_sig = entries(table, _SPLIT, 8, _DOC)
+    split = np.arange(len(sig) + len(cut_sig)) >= len(sig)
+    doc, sig = np.concatenate([doc, cut]), np.concatenate([sig, cut_sig])
+    # a copy may have slipped in beside the smallest id of its set
+    _, group = np.unique(doc["key"], return_inverse=True)
+    least = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc["id"])
+    member = least[group]
     by = np.lexsort((member, sig))
     sig, member, split = sig[by], member[by], split[by]
     keep = np.ones(len(sig), bool)
@@ -375,9 +421,13 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, percent: int = PERC
     sets = seen.where("slots is null").select("id", "n", "k1", "k2")
     order = spark.sparkContext.broadcast(Order(slot_counts(seen)))
     total = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, math.ceil(total * (100 - percent) / 100 / bucket_entries))
-    entries = rows.select("text", "id").mapInArrow(_index(order, width, percent, buckets, hot_entries), "bucket int, docs binary, sigs binary, owners binary, split binary")
-    lists = work.table(entries.groupBy("bucket").applyInArrow(_lists, "sig long, doc long, df long"), "lists")
+    parts, buckets = parts_for(size), max(1, math.ceil(total / bucket_entries))
+    probes = rows.mapInArrow(_share(width, buckets), SCHEMA)
+    shared = work.table(probes.groupBy("bucket").applyInArrow(_shared(parts), SCHEMA), "shared")
+    work.release()
+    index = by_part(rows, shared, parts, _index(order, width, percent, buckets, buckets, hot_entries), SCHEMA)
+    lists = work.table(index.groupBy("bucket").applyInArrow(_lists, "sig long, doc long, df long"), "lists")
+    work.drop("shared")
     work.release()
     # what lists connect is compared together; where that is much, members of one list stay together
     least = lists.groupBy("sig").agg(F.min("doc").alias("b"))

@@ -61,8 +61,8 @@ def wide(raw: bytes, width: int | np.dtype) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def rows_of(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, kind: int, width: int = 8) -> list[tuple]:
-    """One row for each bucket that occurs; keys are numbers of `width` bytes, or records."""
+def rows_of(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, kind: int, width: int = 8, records: np.ndarray | None = None) -> list[tuple]:
+    """One row for each bucket that occurs; keys are numbers of `width` bytes, or records; doc may number `records`."""
     if not len(doc):
         return []
     by = np.lexsort((doc, bucket))
@@ -73,7 +73,8 @@ def rows_of(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, kind: int, wid
         d = doc[lo:hi]
         at = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
         keys = key[lo:hi] if key.dtype.names else key[lo:hi].astype("<u8") if width == 8 else narrow(key[lo:hi])
-        out.append((int(bucket[lo]), kind, d[at].astype("<i8").tobytes(), np.diff(np.append(at, len(d))).astype("<u4").tobytes(), keys.tobytes()))
+        ids = d[at].astype("<i8") if records is None else records[d[at]]
+        out.append((int(bucket[lo]), kind, ids.tobytes(), np.diff(np.append(at, len(d))).astype("<u4").tobytes(), keys.tobytes()))
     return out
 
 
@@ -86,12 +87,12 @@ def table_of(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([batch_of(rows)])
 
 
-def entries(table: pa.Table, kind: int, width: int | np.dtype = 8) -> tuple[np.ndarray, np.ndarray]:
+def entries(table: pa.Table, kind: int, width: int | np.dtype = 8, doc_kind: np.dtype = np.dtype("<i8")) -> tuple[np.ndarray, np.ndarray]:
     """Documents and keys of all entries of a kind."""
-    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, U64 if isinstance(width, int) else width)]
+    docs, keys = [np.zeros(0, doc_kind)], [np.zeros(0, U64 if isinstance(width, int) else width)]
     for k, d, c, x in zip(*(table[n].to_pylist() for n in ("kind", "docs", "counts", "keys")), strict=True):
         if k == kind:
-            docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
+            docs.append(np.repeat(np.frombuffer(d, doc_kind), np.frombuffer(c, "<u4")))
             keys.append(wide(x, width))
     return np.concatenate(docs), np.concatenate(keys)
 
