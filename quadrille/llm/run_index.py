@@ -19,26 +19,32 @@ U64 = np.uint64
 def suffix_array(data: np.ndarray, seg_end: np.ndarray) -> np.ndarray:
     """Order of the positions by their bytes up to the end of their segment; ends sort first, in order of position."""
     n = len(data)
-    # the eight bytes from each position; behind a segment's end come zeros, and no byte counts as zero
+    # the eight bytes from each position; behind a segment's end come zeros
     left = seg_end - np.arange(n)
     key = np.zeros(n, U64)
     for j in range(8):
         byte = np.zeros(n, U64)
         byte[: max(0, n - j)] = data[j:]
         key = key << U64(8) | np.where(left > j, byte, U64(0))
-    order = np.lexsort((np.minimum(left, 8), key))
+    keys = (key,) if data.all() else (key, np.minimum(left, 8))  # a byte of zero looks like an end
+    order = np.argsort(key) if len(keys) == 1 else np.lexsort(keys[::-1])
     reach = 8
-    rank, found = _ranks(order, key, np.minimum(left, 8))
+    rank, found = _ranks(order, *keys)
     longest = int(left.max()) if n else 0
+    # as many ranks as fit into 64 bits make one key, so a small text takes few rounds
+    bits = (n + 1).bit_length()
     while reach < longest and found < n:
-        after = np.zeros(n, np.int64)
-        inside = np.flatnonzero(left > reach)
-        after[inside] = rank[inside + reach] + 1
-        key = rank.astype(U64) << U64(32) | after.astype(U64)
-        order = np.argsort(key, kind="stable")
+        key = rank.astype(U64)
+        for k in range(1, 64 // bits):
+            inside = np.flatnonzero(left > k * reach)
+            key <<= U64(bits)
+            key[inside] |= (rank[inside + k * reach] + 1).astype(U64)
+        order = np.argsort(key)
         rank, found = _ranks(order, key)
-        reach *= 2
-    return order  # equal suffixes end with their segments; a stable sort leaves them in order of position
+        reach *= 64 // bits
+    if found < n:  # suffixes that end alike: in order of position
+        order = np.argsort(rank, kind="stable")
+    return order
 
 
 def _ranks(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, int]:

@@ -38,8 +38,10 @@ from quadrille.llm.workspace import Workspace
 
 LENGTH = 200
 GRAM = 50
-#: Bytes of contexts in one index; an anchor's contexts beyond that are compared by hashes.
-INDEX_BYTES = 2 << 20
+#: Bytes of contexts that anchors share an index up to: small texts sort in cache and in few rounds.
+SHARED_BYTES = 60_000
+#: An anchor's contexts beyond so many bytes are compared by hashes.
+INDEX_BYTES = 1 << 20
 #: Anchors that a task gathers before it sends them, and that one bucket is meant to hold.
 STRETCH = 400_000
 BUCKET_ANCHORS = 1_000_000
@@ -225,8 +227,8 @@ def repeated(doc: np.ndarray, rec: np.ndarray, data: np.ndarray, length: int, in
     total = np.concatenate([[0], np.cumsum(size)])
     docs, spans, at = [], [], 0
     while at < len(head):
-        # whole groups up to index_bytes, or one larger group
-        to = max(at + 1, int(np.searchsorted(total[ends], total[head[at]] + index_bytes, "right")))
+        # whole groups up to SHARED_BYTES, or one larger group
+        to = max(at + 1, int(np.searchsorted(total[ends], total[head[at]] + min(SHARED_BYTES, index_bytes), "right")))
         lo, hi = head[at], ends[to - 1]
         text = data[ragged(place[lo:hi], size[lo:hi])]
         begin = total[lo:hi] - total[lo]
@@ -324,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     chosen = rows.select("id", "text").mapInArrow(_select(length, gram, buckets), SCHEMA)
     matched = work.table(chosen.groupBy("bucket").applyInArrow(_match(parts), SCHEMA), "matched")
     work.release()
-    contexts = by_part(rows, matched.where(F.col("kind") == _NEED), parts, _extract(buckets), _CONTEXTS)
+    contexts = by_part(rows, matched.where(F.col("kind") == _NEED), parts, _extract(parts), _CONTEXTS)
     found = work.table(contexts.groupBy("bucket").applyInArrow(_search(length, parts, index_bytes), SCHEMA), "found")
     work.release()
     spans = matched.where(F.col("kind") == _SPAN).unionByName(found)
