@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SCHEMAS = {
     "snapshots": "snapshot_id string, database_type string, database_name string, schema_name string, host string, port int, jdbc_url string, warehouse string, role string, auth_mode string, extracted_at timestamp",
@@ -90,4 +93,11 @@ def build(spark: SparkSession, snapshot: dict) -> SnapshotFrames:
             rows["uniques"].append((key, name, u, constraint, columns))
         for k, (constraint, clause) in enumerate(table.get("checks", [])):
             rows["checks"].append((key, name, k, constraint, clause))
-    return SnapshotFrames(**{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()})
+    return SnapshotFrames(**{k: local(spark, v, SCHEMAS[k]) for k, v in rows.items()})
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation, which plans read without a task of their own."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema)
