@@ -101,6 +101,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH lowered AS (SELECT 'd' AS kind, doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT 'b', NULL, item_id, text FROM benchmark),
+        split AS (SELECT kind, doc_id, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+        patterns AS (SELECT DISTINCT item_id, w[k:k + least(len(w), 10) - 1] AS g FROM split, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 8))) AS k) WHERE kind = 'b' AND len(w) > 0),
+        lengths AS (SELECT DISTINCT len(g) AS m FROM patterns),
+        docs AS (SELECT doc_id, w FROM split WHERE kind = 'd'),
+        windows AS (SELECT doc_id, k, m, w[k:k + m - 1] AS g FROM docs, lengths, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS k) WHERE len(w) >= m),
+        hits AS (SELECT doc_id, k, m, item_id FROM windows JOIN patterns USING (g)),
+        marked AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM hits, LATERAL (SELECT unnest(range(0, m)) AS j) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op7_substring_dedup": r"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, k, w[k:k + 12] AS g FROM docs, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k) WHERE len(w) >= 13),
+        firsts AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
+        gone AS (SELECT doc_id, list(DISTINCT k + j) AS places FROM windows JOIN firsts USING (g), LATERAL (SELECT unnest(range(0, 13)) AS j) WHERE doc_id > least GROUP BY doc_id),
+        cells AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+        kept AS (SELECT c.doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM cells c LEFT JOIN gone g USING (doc_id) WHERE g.places IS NULL OR NOT list_contains(g.places, i) GROUP BY c.doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+        FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
