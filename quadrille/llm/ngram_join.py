@@ -442,7 +442,8 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, percent: int = PERC
     pairs = left.join(right, "sig").where("c1 <= c2").select("c1", "c2").distinct()
     sides = pairs.select("c1", "c2", F.explode(F.when(F.col("c1") == F.col("c2"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.withColumn("chunk", F.when(F.col("side") == 0, F.col("c1")).otherwise(F.col("c2")))
-    texts = rows.join(chunks, rows["id"] == chunks["doc"]).select("doc", "chunk", "text")
+    # the chunk table grows with the input, so it is never broadcast
+    texts = rows.join(chunks.hint("merge"), rows["id"] == chunks["doc"]).select("doc", "chunk", "text")
     compared = sides.join(texts, "chunk").select("c1", "c2", "side", "text", "doc").repartition("c1", "c2").sortWithinPartitions("c1", "c2")
     found = compared.mapInArrow(_verify(width, percent), "a long, b long")
     # rows of one id are one document
