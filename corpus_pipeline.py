@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 returns the rows that stay, with the columns of documents; the last one returns
 the pieces of the packed sequences. Between stages the rows are written and read
 again. Rows are told apart by the hash of doc_id and text, so a null or repeated
-doc_id does no harm; what a stage rejects is removed by an anti-join, which
-Spark broadcasts only if the rejected keys, written before, are small.
+doc_id does no harm; what a stage rejects is removed by an anti-join. Copies are
+a share of the input, so their keys are never broadcast; of texts without a
+language or with a benchmark item there may be few, and Spark broadcasts their
+keys, written before, only below the session's size limit.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
 
-def _without(spark: SparkSession, docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
-    """The documents whose key is not among the rejected ones."""
+def _without(spark: SparkSession, docs: DataFrame, key: str, rejected: DataFrame, many: bool = False) -> DataFrame:
+    """The documents whose key is not among the rejected ones; many: a share of all, joined by sorting whatever the size."""
     gone = Workspace(spark, "rejected").table(rejected.distinct(), "keys")
+    gone = gone.hint("merge") if many else gone
     return docs.join(gone, key, "left_anti").drop(key)
 
 
@@ -43,7 +46,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keyed = docs.withColumn(key, F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), digest.alias("digest")))
     found = exact_dedup.exact_dedup(docs).where("not kept")
     gone = found.select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "digest").alias(key))
-    return _without(spark, keyed, key, gone)
+    return _without(spark, keyed, key, gone, many=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     found = ngram_join.similar_documents(docs)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key))
-    return _without(spark, keyed, key, gone)
+    return _without(spark, keyed, key, gone, many=True)
 
 
 def benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
