@@ -50,7 +50,7 @@ PERCENT = 75
 #: Documents of one chunk; a comparison holds two.
 CHUNK = 256
 #: Shingles that one bucket is meant to hold, and entries of one list beyond which it is split over buckets.
-BUCKET_ENTRIES = 4_000_000
+BUCKET_ENTRIES = 1_000_000
 HOT_ENTRIES = 1_000_000
 #: A shingle is frequent if its slot counts this many times the mean, and at least so many.
 FREQUENT_TIMES, FREQUENT_LEAST = 16, 64
