@@ -286,11 +286,16 @@ def _index(shared, width: int, percent: int, code_buckets: int, buckets: int, ho
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
         order = shared.value
         held_doc, held_code = entries(answers, _DONE)
+        by = np.argsort(held_doc, kind="stable")
+        held_doc, held_code = held_doc[by], held_code[by]
         rows = []
         for batch in slices(texts.to_batches(), "text") if len(held_doc) else ():
             ids = batch.column(1).to_numpy(zero_copy_only=False)
             r, h = shingle_sets(*buffers(batch.column(2)), width)
-            known = member(r, _code(h, code_buckets), ids, held_doc, held_code)
+            here = np.unique(ids)
+            begin = np.searchsorted(held_doc, here)
+            at = ragged(begin, np.searchsorted(held_doc, here, "right") - begin)
+            known = member(r, _code(h, code_buckets), ids, held_doc[at], held_code[at])
             row, sig, size = signatures(r, h, known, order, percent)
             salts = size // hot + 1
             salt = (mix64(ids[row].view(U64)) % salts.astype(U64)).astype(np.int64)
