@@ -57,7 +57,7 @@ FREQUENT_TIMES, FREQUENT_LEAST = 16, 64
 #: Shingles of one matrix product.
 COLUMNS = 8192
 #: Shingles that a task gathers before it sends them.
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 _OPEN, _DONE, _SPLIT = 0, 1, 2
 _DOC = np.dtype([("id", "<i8"), ("key", "<u8")])
 
