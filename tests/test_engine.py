@@ -295,6 +295,13 @@ def test_stream_of_snapshots(spark, tmp_path):
     assert got == {(0, "a", "COLUMN_ADDED"), (0, "b", "COLUMN_ADDED"), (1, "a", "COLUMN_DROPPED"), (1, "b", "COLUMN_LENGTH_CHANGED"), (1, "c", "COLUMN_ADDED")}
 
 
+def test_orphans_are_the_rows_without_a_target(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(1, 15)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    items = [(1, 1), (7, 1), (14, 2), (98, 1), (99, 3), (None, 1)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, Q.QUERIES["fk_orphans"](spark, str(tmp_path)).collect())) == [(98, 1), (99, 3)]
+
+
 def _rows(df):
     df = df[sorted(df.columns)]
     return sorted(map(tuple, df.astype(object).where(df.notna(), None).values.tolist()), key=str)
