@@ -34,9 +34,13 @@ def _without(spark: SparkSession, docs: DataFrame, key: str, rejected: DataFrame
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (no letter, or no text) go."""
+    model = language_id.learn(docs)
+    if not model.languages:  # no row is labelled, so every text would be without a language
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     keyed, key = _keyed(docs)
-    found = language_id.identify(keyed, language_id.learn(docs), id_col=key)
-    return _without(spark, keyed, key, found.where(F.col("lang_pred") == "und").select(F.col("doc_id").alias(key)))
+    found = language_id.identify(keyed, model, id_col=key)
+    # a text with a letter has a score above 0, even where a label of the input is "und"
+    return _without(spark, keyed, key, found.where("lang_pred = 'und' and score = 0").select(F.col("doc_id").alias(key)))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,3 +108,14 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_language_stage_keeps_every_text_with_a_letter(spark):
+    import corpus_pipeline
+
+    rows = [(1, None), (2, ""), (3, "12 34 !?"), (4, "one"), (None, "die der und"), (4, "中文"), (5, "Ü"), (5, "7é")]
+    docs = corpus.frame(spark, rows)
+    want = sorted((str(i), t) for i, t in rows if any(c.isalpha() for c in t or ""))
+    for lang in (None, "und", "en"):
+        stay = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(lang).cast("string")), "")
+        assert sorted((str(r["doc_id"]), r["text"]) for r in stay.collect()) == want, lang
