@@ -4,10 +4,11 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 returns the rows that stay, with the columns of documents; the last one returns
 the pieces of the packed sequences. Between stages the rows are written and read
 again. Rows are told apart by the hash of doc_id and text, so a null or repeated
-doc_id does no harm; what a stage rejects is removed by an anti-join. Copies are
-a share of the input, so their keys are never broadcast; of texts without a
-language or with a benchmark item there may be few, and Spark broadcasts their
-keys, written before, only below the session's size limit.
+doc_id does no harm; of rows that repeat both, exact dedup keeps one. What a stage
+rejects is removed by an anti-join. Copies are a share of the input, so their keys
+are never broadcast; of texts without a language or with a benchmark item there may
+be few, and Spark broadcasts their keys, written before, only below the session's
+size limit.
 """
 
 from __future__ import annotations
@@ -44,22 +45,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; of several with that doc_id, the one whose columns are smallest."""
     key = free_name(docs, "row_key")
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     keyed = docs.withColumn(key, F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), digest.alias("digest")))
     found = exact_dedup.exact_dedup(docs).where("not kept")
     gone = found.select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "digest").alias(key))
-    return _without(spark, keyed, key, gone, many=True)
+    gone = Workspace(spark, "rejected").table(gone.distinct(), "keys").hint("merge")
+    # rows that repeat both all count as kept, so one of each key is taken; this shuffles the texts again
+    one = keyed.join(gone, key, "left_anti").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return one.select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that similarity links connect the one with the smallest doc_id stays."""
-    key = free_name(docs, "row_key")
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    found = ngram_join.similar_documents(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key))
-    return _without(spark, keyed, key, gone, many=True)
+    """Of the documents that similarity links connect the one with the smallest doc_id stays; of several with that doc_id, the one with the smallest key."""
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        key = free_name(docs, "row_key")
+        keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        found = ngram_join.similar_documents(docs)
+        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key))
+        return _without(spark, keyed, key, gone, many=True)
+    # a doc_id that repeats names no row; hashes do, but they pack worse, so they are used only here
+    keyed, key = _keyed(docs)
+    work = Workspace(spark, "near-copies")
+    found = ngram_join.similar_documents(keyed, id_col=key).select(F.col("doc_id").alias("k"), F.col("component_id").alias("c"))
+    linked = work.table(found.where("k != c").distinct(), "linked")
+    # linked lists a component's rows except the one that gives it its name
+    members = linked.unionByName(linked.select(F.col("c").alias("k"), "c").distinct()).hint("merge")
+    named = work.table(members.join(keyed.select(F.col(key).alias("k"), "doc_id"), "k").select("k", "c", "doc_id").distinct(), "members")
+    first = named.groupBy("c").agg(F.min(F.struct("doc_id", "k")).alias("first")).select(F.col("first.k").alias("k")).hint("merge")
+    return _without(spark, keyed, key, named.join(first, "k", "left_anti").select(F.col("k").alias(key)), many=True)
 
 
 def benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

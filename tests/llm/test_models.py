@@ -110,6 +110,46 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
 
+def test_pipeline_tells_rows_of_one_doc_id_apart(spark, tmp_path):
+    import corpus_pipeline
+    from tests.llm.test_tokens import FILES, reference
+
+    texts = corpus.texts()
+    by = dict(texts)
+    near = by[54].split()  # 40 words, so one changed at the end leaves 35 of 37 shingles
+    copy = lambda w, *end: " ".join([*w[: len(w) - len(end)], *end])
+    alone = [by[i] for i in range(60, 66)]
+    # 901 and 902: a near copy and a clean text; 903: near copies only; null: near copies only
+    rows = texts + [(901, copy(near, "other")), (901, alone[0] + " again"), (902, "a clean text of its own"), (902, copy(near, "third"))]
+    rows += [(903, copy(by[70].split(), "one")), (903, copy(by[70].split(), "two")), (903, "nothing like it here"), (903, "nothing like it here")]
+    rows += [(None, copy(alone[1].split(), "left")), (None, copy(alone[1].split(), "right"))]
+    spark.createDataFrame([("a", "never there at all")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus.frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    stay: dict[str, int | None] = {}
+    for i, t in rows:
+        if any(c.isalpha() for c in t or "") and (t not in stay or corpus.smaller(stay[t], i)):
+            stay[t] = i
+    order = sorted(stay, key=lambda t: (stay[t] is not None, stay[t] or 0))
+    groups: dict[int, list[str]] = {}
+    for place, _, c in corpus.near_components(list(enumerate(order))):
+        groups.setdefault(int(c), []).append(order[int(place)])
+    pools = list(groups.values())
+    out = corpus_pipeline.near_duplicates(spark, corpus_pipeline.exact_duplicates(spark, corpus_pipeline.language(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), ""), ""), "").collect()
+    assert len(out) == len(pools)
+    kept = {r["text"]: r["doc_id"] for r in out}
+    for pool in pools:
+        (t,) = [t for t in pool if t in kept]
+        assert kept[t] == stay[t] and not any(corpus.smaller(stay[u], stay[t]) for u in pool)
+    assert kept["a clean text of its own"] == 902 and kept["nothing like it here"] == 903 and sum(i == 50 for i in kept.values()) == 1
+    got: dict = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    want: dict = {}
+    for (t, i), ids in zip(kept.items(), reference(FILES[0], list(kept)), strict=True):
+        want[i] = want.get(i, 0) + len(ids) + 1
+    assert got == want
+
+
 def test_language_stage_keeps_every_text_with_a_letter(spark):
     import corpus_pipeline
 
