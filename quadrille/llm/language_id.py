@@ -8,7 +8,8 @@ wins. Parsing starts anew at every word, so the phrases of a distinct word are
 counted once by a worker, however often it comes.
 
 Training reads a bounded sample: about `sample_rows` labelled rows of each
-language, by a hash of the id, and of their words the `top_words` most frequent.
+language, by a hash of the id, and of their words the `top_words` most frequent;
+a word of more than `PIECE` letters counts as its pieces, as in parsing.
 
 Defined results: a text that is null or has no letter is `und` with score 0;
 equal estimates go to the first language by name; if nothing was learned, every
@@ -34,7 +35,7 @@ TOP_WORDS = 6000
 MEMO_WORDS = 1_000_000
 #: Bits of cross-entropy a letter that change the odds by a factor of e**8.
 SHARPNESS = 8.0
-#: Longer words are parsed in pieces of so many letters.
+#: Longer words are learned and parsed in pieces of so many letters.
 PIECE = 64
 
 _LETTERS = byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -199,8 +200,8 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, top_words: int =
             seen: dict[tuple[str, str], int] = {}
             for s, e, r in zip(starts.tolist(), ends.tolist(), at.tolist(), strict=True):
                 word = "".join(c for c in raw[s:e].decode("utf-8", "replace").lower() if c.isalpha())
-                if word:
-                    key = (langs[r], word[:PIECE])
+                for a in range(0, len(word), PIECE):
+                    key = (langs[r], word[a : a + PIECE])
                     seen[key] = seen.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 

@@ -159,3 +159,13 @@ def test_language_stage_keeps_every_text_with_a_letter(spark):
     for lang in (None, "und", "en"):
         stay = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(lang).cast("string")), "")
         assert sorted((str(r["doc_id"]), r["text"]) for r in stay.collect()) == want, lang
+
+
+def test_language_id_learns_every_piece_of_a_long_run(spark):
+    head = "".join(chr(0x4E00 + k) for k in range(language_id.PIECE))
+    tails = {"aa": "".join(chr(0x5000 + k) for k in range(100)), "bb": "".join(chr(0x6000 + k) for k in range(100))}
+    docs = spark.createDataFrame([(k, head + t, x) for k, (x, t) in enumerate(sorted(tails.items()))], "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    assert set(model.alphabet) == set(head + "".join(tails.values()))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame([(1, tails["aa"][70:90]), (2, tails["bb"][70:90])], "doc_id long, text string"), model).collect()}
+    assert got == {1: "aa", 2: "bb"}
