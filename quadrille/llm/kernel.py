@@ -9,6 +9,7 @@ a Python worker whatever the size of the input.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +18,20 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
+#: Longer spans are hashed by BLAKE2b, one call each.
+LONG_SPAN = 2048
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _P = U64(0x9E3779B97F4A7C13)
 _Q = U64(0xC2B2AE3D27D4EB53)
-
-
-def _inverse(odd: np.uint64) -> np.uint64:
-    return U64(pow(int(odd), -1, 1 << 64))
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2**64, grown as needed."""
 
     def __init__(self, base: np.uint64):
-        self.base, self.inv, self.n = base, _inverse(base), 0
+        self.base, self.inv, self.n = base, U64(pow(int(base), -1, 1 << 64)), 0
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
@@ -42,7 +42,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = _Powers(_P), _Powers(_Q)
+_BYTES = _Powers(_P)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -114,17 +114,37 @@ def spans(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.nda
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """sums[i] is the hash sum of the first i bytes, from which the hash of any span follows."""
+    """sums[i] is the polynomial sum of the first i bytes, from which a fingerprint of any span follows; equality is for others to verify."""
     up, _ = _BYTES.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
     return sums
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; they depend on the content alone."""
-    _, down = _BYTES.get(len(sums))
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position as one number (a view; zeros behind the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans, eight bytes a round; they depend on content and seed alone, and seeds give independent hashes."""
+    length = ends - starts
+    at = eights(data)
+    h = mix64(length.astype(U64) * _P + U64(seed * (int(_Q) + 1) % (1 << 64)))
+    h = mix64((h ^ at[starts] & _TAIL[np.minimum(length, 8)]) * _Q + h)
+    live = np.flatnonzero((length > 8) & (length <= LONG_SPAN))
+    done = 8
+    while len(live):
+        left = length[live] - done
+        word = at[starts[live] + done] & _TAIL[np.minimum(left, 8)]
+        h[live] = mix64((h[live] ^ word) * _Q + h[live])
+        done += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(length > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def rolling(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +152,16 @@ def rolling(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, n
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64), np.zeros(0, bool)
-    up, down = _WORDS.get(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * up[:-1], out=sums[1:])
-    return mix64((sums[k:] - sums[:-k]) * down[:n] + U64(k)), rows[:n] == rows[k - 1 :]
+    out, at, piece, size = None, 0, hashes, 1
+    while True:  # windows of 1, 2, 4, ... words, joined by the bits of k
+        if k & size:
+            mine = piece[at : at + n]
+            out = mine if out is None else mix64(out * _P + mine)
+            at += size
+        if 2 * size > k:
+            return mix64(out + U64(k)), rows[:n] == rows[k - 1 :]
+        piece = mix64(piece[:-size] * _Q + piece[size:])
+        size *= 2
 
 
 def row_starts(rows: np.ndarray, n: int) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quadrille.llm.kernel import NOT_SPACE, buffers, prefix_sums, rolling, slices, span_hash, spans
+from quadrille.llm.kernel import NOT_SPACE, buffers, rolling, slices, span_hash, spans
 
 MAX_FIT_ROWS = 20_000
 SHRINKAGES = (0.02, 0.05, 0.1, 0.2, 0.4)
@@ -68,7 +68,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     c = np.bincount(row_of * _N + kind, minlength=n * _N).reshape(n, _N)
     starts, ends, rows = spans(data, off, NOT_SPACE)
     words = np.bincount(rows, minlength=n)
-    hashes = span_hash(prefix_sums(data), starts, ends)
+    hashes = span_hash(data, starts, ends)
     same = lambda mask: np.bincount(rows[mask], minlength=n)
     length = ends - starts
     first, last = kind[starts], kind[ends - 1]

@@ -5,9 +5,10 @@ match crosses the start of a run of ASCII white space, nor the place between a
 letter and an ASCII mark other than an apostrophe. A text may be cut there and
 the ids of the parts joined. Parts repeat, so a worker keeps the ids of those it
 has seen, and a part that is one word of Latin letters goes straight to the
-library's BPE model. Rows with any other white space (vertical tab, no-break
-space, ...), for which a cut may fall inside a run, and all rows of any other
-kind of file are encoded whole.
+library's BPE model. A part is found by its hash and then compared byte by byte.
+Rows with any other white space (vertical tab, no-break space, ...), for which a
+cut may fall inside a run, rows that hold the string of an added token, and all
+rows of any other kind of file are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import os
 
 import numpy as np
 
-from quadrille.llm.kernel import LOWER, byte_class, prefix_sums, ragged, span_hash
+from quadrille.llm.kernel import LOWER, byte_class, ragged, span_hash
 from quadrille.llm.memo import KeyTable, Rows
 
 _SPACE = byte_class(b" \t\n\r")
@@ -48,6 +49,15 @@ def other_space(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def found_at(data: bytes, wanted: bytes) -> np.ndarray:
+    """Positions where the wanted bytes start."""
+    out, at = [], data.find(wanted)
+    while at >= 0:
+        out.append(at)
+        at = data.find(wanted, at + 1)
+    return np.array(out, np.int64)
+
+
 def latin_ends(data: np.ndarray) -> np.ndarray:
     """Whether each byte is the last one of a letter up to U+024F; U+0130, which lower-cases to a letter and a mark, is left out."""
     out = _LETTER[data]
@@ -70,13 +80,15 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Encodes Arrow text buffers with a tokenizer file of the `tokenizers` library."""
 
-    def __init__(self, path: str, memo_parts: int = MEMO_PARTS):
+    def __init__(self, path: str, memo_parts: int = MEMO_PARTS, hash=span_hash):
+        self.hash = hash
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
+        # the strings of added tokens have ids of their own; a row that holds one, in any case, is encoded whole
+        self.added = [t["content"].encode().lower() for t in spec.get("added_tokens") or [] if t["content"]]
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         steps = [x.get("type") for x in norm.get("normalizers", [])]
         inner = before.get("pretokenizers", [])
@@ -88,8 +100,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.table, self.flat = KeyTable(), Rows(np.uint32, 1 << 16)
+        self.table, self.place, self.flat = KeyTable(), Rows(np.int64), Rows(np.uint32, 1 << 16)
         self.begin, self.length = Rows(np.int64), Rows(np.int32)
+        self.bytes, self.byte_begin, self.byte_length = Rows(np.uint8, 1 << 16), Rows(np.int64), Rows(np.int64)
 
     def _word(self, text: str) -> list[int] | None:
         """The ids of one Latin word (led by a space, if that counts), or None for any other part."""
@@ -110,20 +123,38 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
-        found = self.ids(texts)
+    def _learn(self, parts: list[bytes], seen: list[bytes]) -> np.ndarray:
+        """Keep the ids of parts under the bytes that stand for them; the new rows."""
+        found = self.ids([p.decode("utf-8", "replace") for p in parts])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.begin.extend(self.flat.n + np.cumsum(lengths) - lengths)
         self.length.extend(lengths)
         self.flat.extend(np.array([i for x in found for i in x], np.uint32))
-        return self.table.add(keys)
+        sizes = np.fromiter(map(len, seen), np.int64, len(seen))
+        self.byte_begin.extend(self.bytes.n + np.cumsum(sizes) - sizes)
+        self.byte_length.extend(sizes)
+        self.bytes.extend(np.frombuffer(b"".join(seen), np.uint8))
+        return np.arange(self.length.n - len(parts), self.length.n)
+
+    def _unlike(self, part: np.ndarray, seen: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places whose bytes are not those of the row that their hash led to; the places cover `seen` without gaps."""
+        size = ends - starts
+        same = self.byte_length.data[part] == size
+        if same.all():
+            theirs = self.bytes.data[ragged(self.byte_begin.data[part], size)]
+            wrong = np.flatnonzero(theirs != seen[starts[0] : ends[-1]]) + starts[0]
+            return np.unique(np.searchsorted(starts, wrong, "right") - 1) if len(wrong) else wrong
+        mine = np.flatnonzero(same)
+        theirs, here = self.bytes.data[ragged(self.byte_begin.data[part[mine]], size[mine])], seen[ragged(starts[mine], size[mine])]
+        wrong = np.repeat(mine, size[mine])[theirs != here]
+        return np.union1d(np.flatnonzero(~same), wrong)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after the other, and where each row's start (with the end)."""
         n = len(off) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        if self.table.n > self.most:
+        if self.length.n > self.most:
             self.forget()
         cut = np.zeros(len(data), bool)
         if self.parts:
@@ -133,21 +164,29 @@ class Encoder:
         cut[off[full]] = True
         starts = np.flatnonzero(cut)
         rows = np.searchsorted(off, starts, "right") - 1
-        if self.parts and len(odd := other_space(data)):
+        odd = np.concatenate([other_space(data), *[found_at(LOWER[data].tobytes(), t) for t in self.added]]) if self.parts else ()
+        if len(odd):
             whole = np.zeros(n, bool)
             whole[np.searchsorted(off, odd, "right") - 1] = True
             keep = ~whole[rows] | (starts == off[rows])
             starts, rows = starts[keep], rows[keep]
         ends = np.append(starts[1:], len(data))
         seen = LOWER[data] if self.parts and self.lowers else data
-        hashes = span_hash(prefix_sums(seen), starts, ends)
-        part = self.table.find(hashes)
+        hashes = self.hash(seen, starts, ends)
+        row = self.table.find(hashes)
+        part = np.where(row < 0, row, self.place.data[row])
+        raw, low = data.tobytes(), seen.tobytes()
+        cuts = lambda at, x: [x[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         new = np.flatnonzero(part < 0)
         if len(new):
             keys, first, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
-            raw = data.tobytes()
             at = new[first]
-            part[new] = self._learn(keys, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])[inverse]
+            learnt = self._learn(cuts(at, raw), cuts(at, low))
+            self.table.add(keys)
+            self.place.extend(learnt)
+            part[new] = learnt[inverse]
+        if len(odd := self._unlike(part, seen, starts, ends)):  # equal hashes of different bytes: rows of their own
+            part[odd] = self._learn(cuts(odd, raw), cuts(odd, low))
         lengths = self.length.data[part].astype(np.int64)
         ids = self.flat.data[ragged(self.begin.data[part], lengths)]
         per_row = np.bincount(rows, weights=lengths, minlength=n).astype(np.int64)

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from quadrille.llm import packing, sharding, token_output
-from quadrille.llm.kernel import buffers
+from quadrille.llm.kernel import buffers, span_hash
 from quadrille.llm.queries import tokenizer
 from quadrille.llm.tokens import Encoder
 from tests.llm import corpus
@@ -17,9 +17,7 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 def reference(name, texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(tokenizer(name)).encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -95,3 +93,24 @@ def test_sharding(spark):
     assert sharding.shard(corpus.frame(spark, []), 3).count() == 0
     with pytest.raises(ValueError):
         sharding.shard(corpus.frame(spark, []), 2, [1.0, 0.0])
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_parts_of_one_hash_keep_their_own_ids(name):
+    """Every part has one of three hashes, so nearly all that are found by hash have other bytes."""
+    few = lambda data, starts, ends: np.asarray((ends - starts) % 3, np.uint64)
+    texts = ["one two three", "six ten abc", "", "one two", "Six Ten three"] + [" ".join(f"w{i}" for i in range(k)) for k in range(30)]
+    enc = Encoder(tokenizer(name), hash=few)
+    for _ in range(2):
+        ids, off = enc.encode(*buffers(pa.array(texts)))
+        assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == reference(name, texts)
+
+
+def test_spans_with_an_arrangement_that_cancels_modulo_a_power_of_two_differ():
+    turn = [bin(i).count("1") % 2 for i in range(1024)]
+    two = ["".join("ab"[t ^ k] for t in turn) for k in (0, 1)]
+    data, off = buffers(pa.array(two))
+    a, b = span_hash(data, off[:-1], off[1:])
+    assert a != b
+    ids, off = Encoder(tokenizer(FILES[0])).encode(*buffers(pa.array(two)))
+    assert [ids[off[i] : off[i + 1]].tolist() for i in range(2)] == reference(FILES[0], two)
