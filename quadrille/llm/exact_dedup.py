@@ -8,9 +8,9 @@ that does not depend on the input) they are broadcast and applied map-side. All
 other digests have at most 2n/k copies and go through an ordinary shuffle.
 
 Defined results: a null text counts as empty; of equal texts the row with the
-largest doc_id stays (a null doc_id is smaller than any); rows that repeat both
-doc_id and text all carry the same keep_id, and all of them count as kept; other
-columns are ignored; an empty table gives an empty result.
+largest doc_id stays (a null doc_id is smaller than any), and of rows that repeat
+both doc_id and text one; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.workspace import small
+from quadrille.llm.workspace import Workspace, free_name, small, with_row_key
 
 #: Counters of a summary; also the most digests that are ever broadcast (32 bytes each and a winner).
 COUNTERS = 4096
@@ -50,16 +50,39 @@ def heavy_digests(digests: DataFrame, total: int, counters: int = COUNTERS) -> D
     return parts.groupBy("digest").agg(F.sum("seen").alias("seen")).where(F.col("seen") > F.lit(total / counters)).select("digest")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, digest (binary SHA-256)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    digests = small(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")))
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+
+
+def _groups(docs: DataFrame, row: Column, id_col: str, text_col: str, counters: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The digests of all rows, the groups of the heavy ones (for a broadcast), the other rows and their groups."""
+    digests = small(docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("digest"), row.alias("row")))
     heavy = F.broadcast(small(heavy_digests(digests, digests.count(), counters)))
-    winners = digests.join(heavy, "digest").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    winners = F.broadcast(small(winners))
-    hot = digests.join(winners, "digest")
+
+    def groups(rows: DataFrame) -> DataFrame:
+        # of equal texts the largest doc_id stays, of several rows with that one the one that is numbered last
+        best = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
+        return best.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+
     rest = digests.join(heavy, "digest", "left_anti")
-    sums = rest.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    cold = rest.join(sums, "digest")
-    columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"]
-    return hot.select(*columns).unionByName(cold.select(*columns))
+    return digests, F.broadcast(small(groups(digests.join(heavy, "digest")))), rest, groups(rest)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, digest (binary SHA-256)."""
+    # the numbers are written with the digests, so they are drawn once
+    digests, winners, rest, sums = _groups(docs, F.monotonically_increasing_id(), id_col, text_col, counters)
+    columns = ["doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest"]
+    return digests.join(winners, "digest").select(*columns).unionByName(rest.join(sums, "digest").select(*columns))
+
+
+def without_copies(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """The rows that stay, with their columns: copies of heavy digests go map-side, the others by a join with the rows' keys."""
+    key, digest, keep = (free_name(docs, x) for x in ("row_key", "row_digest", "row_that_stays"))
+    keyed = with_row_key(docs, work, key)
+    _, winners, rest, sums = _groups(keyed, F.col(key), id_col, text_col, counters)
+    gone = work.table(rest.join(sums, "digest").where("row != keep_row").select(F.col("row").alias(key)), "copies")
+    heavy = keyed.withColumn(digest, _digest(text_col)).join(F.broadcast(winners.select(F.col("digest").alias(digest), F.col("keep_row").alias(keep))), digest, "left")
+    left = heavy.where(F.col(keep).isNull() | (F.col(keep) == F.col(key)))
+    # copies are a share of the input, so their keys are never broadcast
+    return left.join(gone.hint("merge"), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,11 +8,17 @@ nothing is kept with localCheckpoint or in a machine's own folder.
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+import xxhash
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
         if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
             named = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         sc.setCheckpointDir(named)
         held = sc._jsc.sc().getCheckpointDir()
@@ -48,8 +56,14 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write the rows once as Parquet and read them from there: lineage ends here."""
-        schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        schema, conf = df.schema, self.spark.conf
+        # the files of this step's shuffles go when it is over, not when the driver's garbage is collected
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -57,11 +71,6 @@ class Workspace:
             _delete(self.spark, f"{self.root}/{name}")
             self.held.discard(name)
 
-    def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of the steps that are over."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def close(self) -> None:
         if self.held:
             self.held.clear()
@@ -77,6 +86,37 @@ def small(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_row_key(docs: DataFrame, work: Workspace, key: str) -> DataFrame:
+    """The rows with a distinct long in column `key`, which stays the same however often and in whatever parts they are read.
+
+    It is the number of the row in its file plus a hash of the file's path; the
+    hashes are drawn anew until no two files are near each other. Rows that don't
+    come straight from Parquet files are written to such first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "parquet" not in plan.toString():
+        docs = work.table(docs, f"rows-{uuid.uuid4().hex}")
+    scheme = "^[A-Za-z0-9+.-]+:/+"
+    files, seed = [re.sub(scheme, "", path) for path in docs.inputFiles()], 0
+    while True:
+        at = sorted(xxhash.xxh64(f"{path}#{seed}".encode(), seed=42).intdigest() >> 2 for path in files)
+        if all(b - a >> 36 for a, b in zip(at, at[1:], strict=False)):
+            break
+        seed += 1
+    place = F.xxhash64(F.concat(F.regexp_replace("_metadata.file_path", scheme, ""), F.lit(f"#{seed}")))
+    return docs.withColumn(key, F.shiftrightunsigned(place, 2) + F.col("_metadata.row_index"))
+
+
+def integer_ids(docs: DataFrame, id_col: str) -> Column:
+    """The ids as longs; ids of another kind are an error of the call, found before any job."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"column {id_col} must hold integers, not {kind.simpleString()}")
+    return F.col(f"`{id_col}`").cast("long")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name for internal use that the input does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}
