@@ -1,32 +1,33 @@
 """Jaccard self-join of word shingle sets with token-combination prefixes.
 
-Documents with equal sets form one class, held by its smallest id. Shingles are
-ordered: those of one class alone come first (which they are is found by a packed
-shuffle of all), then the others from rare to frequent by a table of hashed
-counts over the whole corpus.
-A set of n shingles that has a partner of similarity t shares with it all but
-n - ceil(t n) of them, so it is enough to index a prefix of the order: a rare
-shingle counts as one, and of the frequent shingles of one class (a hash class
-whose number depends on the set's size) all but the first count. Rare prefix
-shingles are indexed alone, frequent ones in pairs within their class; two
-similar sets then share at least one rare shingle or one pair, and a shingle of
-a passage that very many documents hold never makes a list of its own.
-
-Lists with at least two members become comparisons of chunks: documents that
-lists connect are one chunk, or where they are more than `CHUNK`, several, which
-keep the members of a document's longest list together; two chunks are compared
-once if any list has members in both. A comparison verifies all its pairs by
-counting common shingles with matrix products, and returns a spanning forest of
-the links it finds, so a group of m similar documents yields fewer than m rows
-for each comparison. Components follow from the links.
-
-Sets are held as 64-bit hashes of shingles; equal sets are recognised by two
-64-bit sums over them.
+Rows with equal sets form one node. Shingles are ordered by the number of sets
+that hold them (exact up to what one stretch counts, and the same for all): those
+of one set alone come first, then the rare, then the frequent. A set of n
+shingles that has a partner of similarity t shares with it all but n - ceil(t n)
+of them, so it is enough to index a prefix of the order: a rare shingle counts as
+one, and of the frequent shingles of one class (a hash class whose number depends
+on the set's size) all but the first count. Rare prefix shingles that another set
+has are indexed alone, frequent ones in pairs within their class; two similar sets
+then share at least one rare shingle or one pair, and a shingle of a passage that
+very many documents hold never makes a list of its own.
+
+Nodes that lists connect are compared in chunks. Where that is one chunk, all its
+pairs are verified at once. Where it is more, nodes of one list are put together
+as far as chunks reach, and what turns out to be linked is represented by one
+leader; leaders that still share a list are compared in the same way until that
+finds no more links, so a large group of near copies takes a number of comparisons
+in proportion to its members. Lists that then still have members of several
+components are compared chunk by chunk. A comparison counts the common shingles
+of all its pairs with matrix products, returns a spanning forest of the links and
+checks each of those again with second hashes of the shingles.
+
+Sets are held as 64-bit hashes of shingles; equal sets are recognised by two sums
+over independent hashes.
 
 Defined results: a null or wordless text has no shingles and is linked with
-nothing; rows that repeat a doc_id count as one document, linked if any of them
-is; a null doc_id is a document of its own, smaller than any other; other
-columns are ignored; an empty table gives an empty result.
+nothing; rows are told apart even where doc_id repeats or is null, and a component
+is named by the smallest doc_id that is not null; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,335 +37,279 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.components import components
-from quadrille.llm.kernel import LOWER, NOT_SPACE, U64, buffers, mix64, prefix_sums, ragged, rolling, slices, span_hash, spans
-from quadrille.llm.packed import NULL_ID, SCHEMA, batch_of, by_part, entries, member, part_of, parts_for, rows_of, table_of
-from quadrille.llm.workspace import Workspace
+from quadrille.llm.kernel import LOWER, NOT_SPACE, U64, buffers, mix64, ragged, rolling, slices, span_hash, spans
+from quadrille.llm.packed import COARSE, SCHEMA, batch_of, by_bucket, by_part, coarse_of, dealt, entries, groups, measure, rows_of, table_of, tasks_for, with_part
+from quadrille.llm.workspace import Workspace, free_name, with_row_key
 
 SHINGLE = 5
 PERCENT = 75
-#: Documents of one chunk; a comparison holds two.
+#: Nodes of one chunk; a comparison holds two.
 CHUNK = 256
-#: Shingles that one bucket is meant to hold, and entries of one list beyond which it is split over buckets.
+#: Shingles that one bucket is meant to hold.
 BUCKET_ENTRIES = 1_000_000
-HOT_ENTRIES = 1_000_000
-#: A shingle is frequent if its slot counts this many times the mean, and at least so many.
-FREQUENT_TIMES, FREQUENT_LEAST = 16, 64
+#: A shingle is frequent if so many sets hold it.
+FREQUENT = 64
 #: Shingles of one matrix product.
 COLUMNS = 8192
 #: Shingles that a task gathers before it sends them.
 STRETCH = 1_000_000
-_OPEN, _DONE, _SPLIT = 0, 1, 2
-_DOC = np.dtype([("id", "<i8"), ("key", "<u8")])
+_LOW = U64((1 << 40) - 1)
+_CODE = np.dtype([("lo", "<u4"), ("hi", "u1"), ("n", "u1")])
+_LEVEL = np.dtype([("code", "<u8"), ("level", "u1")])
+_ANSWER, _COPY = 0, 1
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every distinct shingle, sorted by row and hash."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = SHINGLE, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, ...]:
+    """Row and hash of every distinct shingle, sorted by row and hash, and further hashes for more seeds."""
     low = LOWER[data]
     starts, ends, rows = spans(low, off, NOT_SPACE)
-    hashes = span_hash(prefix_sums(low), starts, ends)
     n = len(off) - 1
     count = np.bincount(rows, minlength=n)
-    found, whole = rolling(hashes, rows, width)
-    r, h = [rows[: len(found)][whole]], [found[whole]]
-    for k in range(1, width):  # all words of a shorter text are one shingle
-        short = np.flatnonzero(count == k)
-        if len(short):
-            begin = np.searchsorted(rows, short)
-            grams, _ = rolling(hashes, rows, k)
-            r.append(short)
-            h.append(grams[begin])
-    r, h = np.concatenate(r), np.concatenate(h)
-    order = np.lexsort((h, r))
-    r, h = r[order], h[order]
+    r, hashes = [], [[] for _ in seeds]
+    for i, seed in enumerate(seeds):
+        words = span_hash(low, starts, ends, seed)
+        for k in range(1, width + 1):  # all words of a shorter text are one shingle
+            short = np.flatnonzero(count == k) if k < width else None
+            if k < width and not len(short):
+                continue
+            found, whole = rolling(words, rows, k)
+            at = np.flatnonzero(whole) if k == width else np.searchsorted(rows, short)
+            hashes[i].append(found[at])
+            if not i:
+                r.append(rows[at])
+    r, hashes = np.concatenate(r), [np.concatenate(x) for x in hashes]
+    order = np.lexsort((hashes[0], r))
+    r, hashes = r[order], [x[order] for x in hashes]
     new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-    return r[new], h[new]
+    new[1:] = (r[1:] != r[:-1]) | (hashes[0][1:] != hashes[0][:-1])
+    return r[new], *[x[new] for x in hashes]
 
 
-def set_keys(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit sums over each set."""
-    out = []
-    for salt in (1, 2):
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(h + U64(salt)))])
-        out.append(sums[bounds[1:]] - sums[bounds[:-1]])
-    return out
+def set_sums(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit sum over each set."""
+    sums = np.zeros(len(h) + 1, U64)
+    np.cumsum(mix64(h + U64(1)), out=sums[1:])
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def node_of(k1: np.ndarray, k2: np.ndarray, salt: int) -> np.ndarray:
+    return mix64(k1 ^ mix64(k2 + U64(salt))).view(np.int64)
+
+
+def code_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket and 40 bits of a shingle; two shingles with one code count as one, which costs work only."""
+    return ((h >> U64(40)) % U64(buckets)) << U64(40) | (h & _LOW)
 
 
-def _describe(bits: int, width: int):
-    """Of each document its size and set keys; at the end of a task, the counts of its slots."""
+def _describe(width: int, buckets: int, coarse: int, salt: int, id_type: pa.DataType):
+    """Of each row its set (kind 1), and of each stretch the codes of the distinct sets of a part, by bucket (kind 0)."""
+    fields = [("bucket", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("doc_id", id_type), *[(x, pa.int64()) for x in ("row", "part", "n", "k1", "k2", "node")]]
+    schema = pa.schema(fields)
+
+    def whole(n: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(1 << bits, np.int64)
+        parts, nodes, owners, codes, held, seen = [], [], [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            part, node, owner, code = (np.concatenate(x) for x in (parts, nodes, owners, codes))
+            for x in (parts, nodes, owners, codes):
+                x.clear()
+            # of equal sets of a part one speaks
+            by = np.lexsort((node, part))
+            lead = np.zeros(len(part), bool)
+            lead[by[groups(part[by], node[by])]] = True
+            if not lead.all():
+                keep = lead[owner]
+                owner, code = owner[keep], code[keep]
+            names, which = np.unique(part, return_inverse=True)
+            out = []
+            for p, name in enumerate(names):
+                mine = np.sort(code[which[owner] == p] if len(names) > 1 else code)
+                at = groups(mine)
+                rec = np.zeros(len(at), _CODE)
+                one = mine[at]
+                rec["lo"], rec["hi"] = one & U64(0xFFFFFFFF), (one >> U64(32)) & U64(0xFF)
+                rec["n"] = np.minimum(np.diff(np.append(at, len(mine))), 255)
+                bucket = coarse_of((one >> U64(40)).astype(np.int64), buckets, coarse)
+                if buckets > coarse:  # the bucket itself is not in the record
+                    wide = np.zeros(len(at), _WIDE)
+                    wide["bucket"], wide["code"] = one >> U64(40), rec
+                    rec = wide
+                out += rows_of(bucket, np.full(len(at), name), rec)
+            return whole(len(out), dict(zip(("bucket", "kind", "docs", "counts", "keys"), batch_of(out).columns, strict=True)))
+
         for batch in slices(batches, "text"):
-            r, h = shingle_sets(*buffers(batch.column(1)), width)
+            r, h, g = shingle_sets(*buffers(batch.column(3)), width, (0, 1))
             n = batch.num_rows
-            slots += np.bincount((h >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
             bounds = np.searchsorted(r, np.arange(n + 1))
-            keys = [k.view(np.int64) for k in set_keys(h, bounds)]
-            none = pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(keys[0]), pa.array(keys[1]), *none], ["id", "n", "k1", "k2", "part", "slots"])
-        if slots.any():
-            parts = slots.reshape(-1, min(1 << bits, 1 << 14)).astype("<u4")
-            n = len(parts)
-            null = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([null, pa.array(np.full(n, TaskContext.get().partitionId())), null, null, pa.array(np.arange(n), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["id", "n", "k1", "k2", "part", "slots"])
+            k1, k2 = set_sums(h, bounds), set_sums(g, bounds)
+            node = node_of(k1, k2, salt)
+            yield whole(n, {"kind": pa.array(np.ones(n, np.int32)), "doc_id": batch.column(0), "row": batch.column(1), "part": batch.column(2), "n": pa.array(np.diff(bounds)), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "node": pa.array(node)})
+            parts.append(batch.column(2).to_numpy())
+            nodes.append(node)
+            owners.append(r + seen)
+            codes.append(code_of(h, buckets))
+            seen += n
+            held += len(r)
+            if held > STRETCH:
+                yield flush()
+                held = seen = 0
+        if parts:
+            yield flush()
 
     return run
 
 
-def _add_slots(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<u4").astype(np.uint64) for x in table["slots"].to_pylist())
-    total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "slots": pa.array([total.tobytes()], pa.binary())})
+_WIDE = np.dtype([("bucket", "<u4"), ("code", _CODE)])
 
 
-def slot_counts(rows: DataFrame) -> np.ndarray:
-    """The summed counts; tasks are added 256 at a time, and the table has a fixed number of slots."""
-    parts = rows.where("slots is not null").select("part", (F.col("n") / 256).cast("long").alias("task"), "slots")
-    summed = parts.groupBy("part", "task").applyInArrow(_add_slots, "part int, slots binary").groupBy("part").applyInArrow(_add_slots, "part int, slots binary")
-    return np.concatenate([np.frombuffer(r[1], "<u4") for r in sorted(summed.collect())] or [np.zeros(1, "<u4")])
+def _levels(buckets: int, parts: int, coarse: int):
+    """Of a bucket the codes that several sets have, with the level of their number, by part."""
 
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        wide = buckets > coarse
+        part, rec = entries(table, 0, _WIDE if wide else _CODE)
+        rec = rec["code"] if wide else rec
+        code = rec["lo"].astype(U64) | rec["hi"].astype(U64) << U64(32)
+        by = np.argsort(code, kind="stable")
+        at = groups(code[by])
+        if not len(at):
+            return table_of([])
+        total = np.add.reduceat(rec["n"][by].astype(np.int64), at)
+        total = np.repeat(total, np.diff(np.append(at, len(by))))
+        keep = total > 1
+        mine = by[keep]
+        out = np.zeros(len(mine), _LEVEL)
+        out["code"] = U64(key[0].as_py()) << U64(40) | code[mine]
+        out["level"] = 1 + np.floor(np.log2(total[keep])).astype(np.uint8)
+        return table_of(rows_of(coarse_of(part[mine], parts, coarse), part[mine], out, _ANSWER))
 
-class Order:
-    """The order of shingles: levels of their slots' counts, then their hashes."""
+    return run
 
-    def __init__(self, counts: np.ndarray):
-        mean = counts.mean()
-        self.bits = len(counts).bit_length() - 1
-        self.level = np.clip(2 * np.log2((counts + 1.0) / (mean + 1.0)), 0, 62).astype(np.uint8)
-        frequent = counts >= max(FREQUENT_TIMES * mean, FREQUENT_LEAST)
-        self.level += frequent.astype(np.uint8) * 64
-        self.counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        return (h >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+def _copies(parts: int, coarse: int):
+    """The rows (part, row) whose set another row stands for, packed by part."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            rec = np.zeros(batch.num_rows, _LEVEL)
+            rec["code"] = batch.column(1).to_numpy().view(U64)
+            yield batch_of(rows_of(coarse_of(part, parts, coarse), part, rec, _COPY))
 
-def _level(n: np.ndarray) -> np.ndarray:
+    return run
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def signatures(r: np.ndarray, h: np.ndarray, shared: np.ndarray, order: Order, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, signature and estimated list length of each index entry of the sets (r, h); shared: does another set have it?"""
+def signatures(r: np.ndarray, h: np.ndarray, level: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Row and signature of each index entry of the sets (r, h); level: 0 for a shingle of one set, else 1 + log2 of their number."""
     if not len(r):
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-    slot = order.of(h)
-    level = np.where(shared, order.level[slot], 0)
-    by = np.lexsort((h, level, shared, r))
-    r, h, level, slot, shared = r[by], h[by], level[by], slot[by], shared[by]
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    by = np.lexsort((h, level, r))
+    r, h, level = r[by], h[by], level[by]
     begin = np.searchsorted(r, np.arange(int(r[-1]) + 2))
     n = np.diff(begin)
     least = -(-percent * n // 100)  # the smallest size of a partner, and of the overlap with one
     need = n - least + 1
     place = np.arange(len(r)) - begin[r]
-    rare = level < 64
-    alone = rare & shared & (place < need[r])
-    count = order.counts[slot].astype(np.int64)
-    rows, sigs, size = [r[alone]], [mix64(h[alone] ^ U64(0xA5A5A5A5A5A5A5A5))], [count[alone]]
+    rare = level <= math.log2(frequent)
+    alone = rare & (level > 0) & (place < need[r])
+    rows, sigs = [r[alone]], [mix64(h[alone] ^ U64(0xA5A5A5A5A5A5A5A5))]
     rares = np.bincount(r, weights=rare, minlength=len(n)).astype(np.int64)
-    own, other = _level(n), _level(least)
-    for levels, wanted in ((own, np.ones(len(n), bool)), (other, own != other)):
+    own, other = _size_class(n), _size_class(least)
+    for classes, wanted in ((own, np.ones(len(n), bool)), (other, own != other)):
         use = ~rare & (wanted & (rares < need))[r]
         if not use.any():
             continue
-        fr, fh, fc = r[use], h[use], count[use]
-        classes = np.left_shift(1, np.maximum(levels - 2, 0))[fr]
-        cls = (mix64(fh) % classes.astype(U64)).astype(np.int64)
+        fr, fh = r[use], h[use]
+        cls = (mix64(fh) % np.left_shift(1, np.maximum(classes - 2, 0))[fr].astype(U64)).astype(np.int64)
         # a token counts towards the prefix unless it is the first of its class
         grouped = np.lexsort((np.arange(len(fr)), cls, fr))
-        first = np.zeros(len(fr), bool)
-        g_r, g_c = fr[grouped], cls[grouped]
-        lead = np.ones(len(fr), bool)
-        lead[1:] = (g_r[1:] != g_r[:-1]) | (g_c[1:] != g_c[:-1])
-        first[grouped[lead]] = True
-        gain = (~first).astype(np.int64)
+        gain = np.ones(len(fr), np.int64)
+        gain[grouped[groups(fr[grouped], cls[grouped])]] = 0
         total = np.cumsum(gain)
         at = np.searchsorted(fr, np.arange(len(n)))
         base = np.concatenate([[0], total])[at]
         so_far = total - base[fr] + rares[fr]
         inside = so_far - gain < need[fr]  # up to the token that completes the prefix
-        fr, fh, fc, cls = fr[inside], fh[inside], fc[inside], cls[inside]
+        fr, fh, cls = fr[inside], fh[inside], cls[inside]
         grouped = np.lexsort((np.arange(len(fr)), cls, fr))
-        fr, fh, fc, cls = fr[grouped], fh[grouped], fc[grouped], cls[grouped]
-        lead = np.ones(len(fr), bool)
-        lead[1:] = (fr[1:] != fr[:-1]) | (cls[1:] != cls[:-1])
-        group = np.cumsum(lead) - 1
-        end = np.append(np.flatnonzero(lead)[1:], len(fr))[group] if len(fr) else np.zeros(0, np.int64)
+        fr, fh, cls = fr[grouped], fh[grouped], cls[grouped]
+        lead = groups(fr, cls)
+        end = np.repeat(np.append(lead[1:], len(fr)), np.diff(np.append(lead, len(fr))))
         later = end - np.arange(len(fr)) - 1
         a = np.repeat(np.arange(len(fr)), later)
         b = ragged(np.arange(len(fr)) + 1, later)
         rows.append(fr[a])
-        sigs.append(mix64(mix64(fh[a]) * U64(3) + mix64(fh[b] + U64(7)) + levels[fr[a]].astype(U64)))
-        size.append(np.minimum(fc[a], fc[b]))
-    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(size)
-
-
-def _share(width: int, buckets: int):
-    """Shingles by bucket; what two different sets of a stretch of documents share is settled at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, owners, codes, held = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            doc, owner, code = np.concatenate(docs), np.concatenate(owners), np.concatenate(codes)
-            docs.clear(), owners.clear(), codes.clear()
-            by = np.lexsort((doc["id"], doc["key"]))  # of equal sets the smallest id speaks
-            doc_of = np.empty(len(doc), np.int64)
-            doc_of[by] = np.arange(len(doc))
-            doc = doc[by]
-            first = np.append(True, doc["key"][1:] != doc["key"][:-1])[: len(doc)]
-            owner = doc_of[owner]
-            mine = first[owner]
-            owner, code = owner[mine], code[mine]
-            by = np.lexsort((owner, code))
-            owner, code = owner[by], code[by]
-            begin = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
-            count = np.diff(np.append(begin, len(code)))
-            many = np.repeat(count > 1, count)
-            bucket = (code >> U64(40)).astype(np.int64)
-            ids = doc["id"]
-            done = rows_of(bucket[many], ids[owner[many]], code[many], _DONE)
-            keep = np.zeros(len(code), bool)
-            keep[begin] = True
-            keep[begin[count > 1] + 1] = True  # two different sets tell the others
-            return batch_of(done + rows_of(bucket[keep], owner[keep], code[keep], _OPEN, 5, doc))
-
-        seen = 0
-        for batch in slices(batches, "text"):
-            r, h = shingle_sets(*buffers(batch.column(1)), width)
-            doc = np.zeros(batch.num_rows, _DOC)
-            doc["id"] = batch.column(0).to_numpy(zero_copy_only=False)
-            k1, k2 = set_keys(h, np.searchsorted(r, np.arange(len(doc) + 1)))
-            doc["key"] = mix64(k1 ^ mix64(k2))
-            docs.append(doc)
-            owners.append(r + seen)
-            codes.append(_code(h, buckets))
-            seen += len(doc)
-            held += len(r)
-            if held > STRETCH:
-                yield flush()
-                seen = held = 0
-        if docs:
-            yield flush()
-
-    return run
+        sigs.append(mix64(mix64(fh[a]) * U64(3) + mix64(fh[b] + U64(7)) + classes[fr[a]].astype(U64)))
+    row, sig = np.concatenate(rows), np.concatenate(sigs)
+    by = np.lexsort((sig, row))
+    row, sig = row[by], sig[by]
+    one = groups(row, sig)
+    return row[one], sig[one]
 
 
-def _shared(parts: int):
-    """The shingles of a bucket that at least two different sets have, by part of the document."""
+def _index(width: int, percent: int, frequent: int, buckets: int, salt: int):
+    """Index entries (sig, node) of the sets of a part, and the texts (node, text) of those that have any."""
+    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("text", pa.string())])
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        doc, packed = entries(table, _OPEN, 5, _DOC)
-        by = np.lexsort((doc["id"], doc["key"], packed))
-        doc, packed = doc[by], packed[by]
-        new = np.append(True, packed[1:] != packed[:-1])[: len(packed)]
-        other = new | np.append(True, doc["key"][1:] != doc["key"][:-1])[: len(packed)]
-        group = np.cumsum(new) - 1
-        several = np.bincount(group, weights=other) > 1 if len(group) else np.zeros(0, bool)
-        tell = other & several[group] if len(group) else other  # of equal sets the smallest id
-        ids, code = doc["id"][tell], U64(key[0].as_py()) << U64(40) | packed[tell]
-        more, codes = entries(table, _DONE)
-        ids, code = np.concatenate([ids, more]), np.concatenate([code, codes])
-        return table_of(rows_of(part_of(ids, parts), ids, code, _DONE))
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+        _, told = entries(answers, _ANSWER, _LEVEL)
+        _, copies = entries(answers, _COPY, _LEVEL)
+        by = np.argsort(told["code"])
+        code, level = told["code"][by], told["level"][by]
+        copies = np.sort(copies["code"].view(np.int64))
+        out = []
+        for batch in slices(texts.select(["row", "text"]).to_batches(), "text") if len(code) else ():
+            ids = batch.column(0).to_numpy()
+            if len(copies):
+                batch = batch.filter(pa.array(copies[np.minimum(np.searchsorted(copies, ids), len(copies) - 1)] != ids))
+            r, h, g = shingle_sets(*buffers(batch.column(1)), width, (0, 1))
+            mine = code_of(h, buckets)
+            at = np.minimum(np.searchsorted(code, mine), len(code) - 1)
+            row, sig = signatures(r, h, np.where(code[at] == mine, level[at], 0), percent, frequent)
+            bounds = np.searchsorted(r, np.arange(batch.num_rows + 1))
+            node = node_of(set_sums(h, bounds), set_sums(g, bounds), salt)
+            has = np.unique(row)
+            out.append(pa.table([pa.array(sig.view(np.int64)), pa.array(node[row]), pa.nulls(len(row), pa.string())], schema=schema))
+            out.append(pa.table([pa.nulls(len(has), pa.int64()), pa.array(node[has]), batch.column(1).take(pa.array(has))], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
-def _code(h: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket and 40 bits of a shingle; two shingles with one code count as shared, which costs work only."""
-    return ((h >> U64(44)) % U64(buckets)) << U64(40) | (h & U64((1 << 40) - 1))
-
+_Set = tuple[int, np.ndarray, np.ndarray]
 
-def _index(shared, width: int, percent: int, code_buckets: int, buckets: int, hot: int):
-    """Index entries of the documents of a part, by bucket of the signature."""
 
-    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
-        order = shared.value
-        held_doc, held_code = entries(answers, _DONE)
-        by = np.argsort(held_doc, kind="stable")
-        held_doc, held_code = held_doc[by], held_code[by]
-        rows = []
-        for batch in slices(texts.to_batches(), "text") if len(held_doc) else ():
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            r, h = shingle_sets(*buffers(batch.column(2)), width)
-            here = np.unique(ids)
-            begin = np.searchsorted(held_doc, here)
-            at = ragged(begin, np.searchsorted(held_doc, here, "right") - begin)
-            known = member(r, _code(h, code_buckets), ids, held_doc[at], held_code[at])
-            row, sig, size = signatures(r, h, known, order, percent)
-            salts = size // hot + 1
-            salt = (mix64(ids[row].view(U64)) % salts.astype(U64)).astype(np.int64)
-            bucket = ((sig >> U64(20)).astype(np.int64) + np.where(salts > 1, salt, 0)) % buckets
-            doc = np.zeros(len(ids), _DOC)
-            doc["id"] = ids
-            k1, k2 = set_keys(h, np.searchsorted(r, np.arange(len(ids) + 1)))
-            doc["key"] = mix64(k1 ^ mix64(k2))
-            split = salts > 1
-            for kind, mine in ((_OPEN, ~split), (_SPLIT, split)):
-                rows += rows_of(bucket[mine], row[mine], sig[mine], kind, 8, doc)
-        return table_of(rows)
-
-    return run
-
-
-def _lists(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Lists of at least two members (and parts of split lists); of lists with equal members one."""
-    doc, sig = entries(table, _OPEN, 8, _DOC)
-    cut, cut_sig = entries(table, _SPLIT, 8, _DOC)
-    split = np.arange(len(sig) + len(cut_sig)) >= len(sig)
-    doc, sig = np.concatenate([doc, cut]), np.concatenate([sig, cut_sig])
-    # a copy may have slipped in beside the smallest id of its set
-    _, group = np.unique(doc["key"], return_inverse=True)
-    least = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, doc["id"])
-    member = least[group]
-    by = np.lexsort((member, sig))
-    sig, member, split = sig[by], member[by], split[by]
-    keep = np.ones(len(sig), bool)
-    keep[1:] = (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])
-    sig, member, split = sig[keep], member[keep], split[keep]
-    lead = np.ones(len(sig), bool)
-    lead[1:] = sig[1:] != sig[:-1]
-    begin = np.flatnonzero(lead)
-    length = np.diff(np.append(begin, len(sig)))
-    sums = np.add.reduceat(mix64(member.view(U64)), begin) if len(begin) else np.zeros(0, U64)
-    kept = (length > 1) | split[begin]
-    by = np.lexsort((sig[begin], sums, length))
-    again = np.zeros(len(begin), bool)
-    again[1:] = (sums[by][1:] == sums[by][:-1]) & (length[by][1:] == length[by][:-1])
-    twice = np.zeros(len(begin), bool)
-    twice[by[again]] = True
-    kept &= ~twice | split[begin]
-    at = ragged(begin[kept], length[kept])
-    return pa.table({"sig": pa.array(sig[at].view(np.int64)), "doc": pa.array(member[at]), "df": pa.array(np.repeat(length[kept], length[kept]))})
-
-
-def links_between(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among `left`, or between left and right."""
+def links_between(left: list[_Set], right: list[_Set] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links among `left`, or between left and right; a set: node, sorted hashes, second hashes."""
     docs = left + (right or [])
-    ids = [i for i, _ in docs]
-    size = np.array([len(s) for _, s in docs], np.int64)
-    token = np.concatenate([s for _, s in docs])
+    size = np.array([len(s) for _, s, _ in docs], np.int64)
+    token = np.concatenate([s for _, s, _ in docs])
     owner = np.repeat(np.arange(len(docs)), size)
-    _, col, times = np.unique(token, return_inverse=True, return_counts=True)
-    shared = times[col] > 1
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], owner[by]
+    at = groups(token)
+    times = np.diff(np.append(at, len(token)))
+    col = np.repeat(np.cumsum(times > 1) - 1, times)
+    shared = np.repeat(times > 1, times)
     col, owner = col[shared], owner[shared]
-    _, col = np.unique(col, return_inverse=True)
     n_left = len(left) if right is not None else len(docs)
     common = np.zeros((n_left, len(docs)), np.float32)
-    by = np.argsort(col, kind="stable")
-    col, owner = col[by], owner[by]
     for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
         lo, hi = np.searchsorted(col, (at, at + COLUMNS))
         block = np.zeros((len(docs), min(COLUMNS, int(col[-1]) + 1 - at)), np.float32)
         block[owner[lo:hi], col[lo:hi] - at] = 1
         common += block[:n_left] @ block.T
-    common = common.astype(np.int64)
     union = size[:n_left, None] + size[None, :] - common
     hit = (100 * common >= percent * union) & (common > 0)
     if right is not None:
@@ -378,86 +323,185 @@ def links_between(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.
             x = parent[x]
         return x
 
+    def alike(x: int, y: int) -> bool:
+        """The comparison by both hashes."""
+        _, i, j = np.intersect1d(docs[x][1], docs[y][1], assume_unique=True, return_indices=True)
+        both = int((docs[x][2][i] == docs[y][2][j]).sum())
+        return 100 * both >= percent * (int(size[x]) + int(size[y]) - both)
+
     out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[x] = y
-            out.append((ids[x], ids[y]))
+        p, q = find(x), find(y)
+        if p != q and alike(x, y):
+            parent[p] = q
+            out.append((docs[x][0], docs[y][0]))
     return out
 
 
 def _verify(width: int, percent: int):
-    """Compares the chunks of each comparison; rows come sorted by it."""
+    """Compares the sides of each comparison (c1, c2, right, node, text); rows come sorted by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides, found = None, ([], []), []
 
         def close() -> None:
             if now is not None:
-                found.extend(links_between(sides[0], sides[1] or None, percent))
+                found.extend(links_between(sides[0], None if now[0] == now[1] else sides[1], percent))
             sides[0].clear(), sides[1].clear()
 
+        def batch_of_links() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            found.clear()
+            return out
+
         for batch in slices(batches, "text"):
-            r, h = shingle_sets(*buffers(batch.column(3)), width)
+            r, h, g = shingle_sets(*buffers(batch.column(4)), width, (0, 1))
             cut = np.searchsorted(r, np.arange(batch.num_rows + 1))
-            for i, (c1, c2, right, doc) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True)):
+            for i, (c1, c2, right, node) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
                 if now != (c1, c2):
                     close()
                     now = (c1, c2)
-                sides[right].append((doc, h[cut[i] : cut[i + 1]].copy()))
+                sides[right].append((node, h[cut[i] : cut[i + 1]].copy(), g[cut[i] : cut[i + 1]].copy()))
             if len(found) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-                found.clear()
+                yield batch_of_links()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        yield batch_of_links()
 
     return run
 
 
-def similar_documents(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, bucket_entries: int = BUCKET_ENTRIES, hot_entries: int = HOT_ENTRIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _merge(df: DataFrame) -> DataFrame:
+    """Tables that grow with the input are never broadcast."""
+    return df.hint("merge")
+
+
+class _Join:
+    """The comparisons of one run: lists (sig, node) and the texts (node, text) of their members."""
+
+    def __init__(self, work: Workspace, lists: DataFrame, texts: DataFrame, width: int, percent: int, chunk: int):
+        self.work, self.lists, self.texts, self.width, self.percent, self.chunk = work, lists, texts, width, percent, chunk
+        self.links: list[DataFrame] = []
+        self.turn = 0
+
+    def name(self, what: str) -> str:
+        return f"{what}-{self.turn}"
+
+    def several(self, lists: DataFrame) -> DataFrame:
+        """The lists with at least two members, with their sizes and smallest members."""
+        count = lists.groupBy("sig").agg(F.count("*").alias("df"), F.min("node").alias("least")).where("df > 1")
+        return self.work.table(lists.join(_merge(count), "sig"), self.name("lists"))
+
+    def deal(self, lists: DataFrame) -> DataFrame:
+        """(node, chunk, size): what lists connect is one chunk, or where that is much, members of one list stay together."""
+        joined = components(self.work, lists.select(F.col("node").alias("a"), F.col("least").alias("b")), self.name("met"))
+        main = lists.groupBy("node").agg(F.max(F.struct("df", "sig")).alias("m"))
+        joined = joined.select("node", F.col("component").alias("met"))
+        whole = main.join(_merge(joined), "node", "left").select("node", "m", F.coalesce("met", "node").alias("met"))
+        sizes = whole.groupBy("met").agg(F.count("*").alias("size"))
+        # large lists are cut by member, lists and pieces are dealt over the chunks
+        piece = F.xxhash64("m.sig", F.pmod(F.xxhash64("node"), F.ceil(F.col("m.df") / self.chunk)))
+        place = F.xxhash64("met", F.pmod(piece, F.ceil(F.col("size") / self.chunk)))
+        return self.work.table(whole.join(_merge(sizes), "met").select("node", place.alias("chunk"), "size"), self.name("chunks"))
+
+    def compare(self, sides: DataFrame) -> bool:
+        """Verify (c1, c2, side, chunk, node); were links found?"""
+        rows = sides.join(_merge(self.texts), "node").select("c1", "c2", "side", "node", "text")
+        ordered = rows.repartition(tasks_for(rows, 0), "c1", "c2").sortWithinPartitions("c1", "c2")
+        found = self.work.table(ordered.mapInArrow(_verify(self.width, self.percent), "a long, b long"), self.name("links"))
+        self.links.append(found)
+        return not found.isEmpty()
+
+    def inside(self, chunks: DataFrame) -> bool:
+        """All pairs of each chunk."""
+        more = chunks.groupBy("chunk").agg(F.count("*").alias("members")).where("members > 1")
+        return self.compare(chunks.join(_merge(more), "chunk").select(F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), F.lit(0).alias("side"), "node"))
+
+    def leaders(self) -> DataFrame:
+        """(node, leader) of the nodes that have been linked."""
+        links = self.links[0]
+        for more in self.links[1:]:
+            links = links.unionByName(more)
+        return components(self.work, links, self.name("led")).select("node", F.col("component").alias("leader"))
+
+    def run(self) -> DataFrame:
+        """(node, leader) when every pair that shares a list is linked, compared or known to be connected."""
+        lists = self.several(self.lists)
+        first = self.deal(lists)
+        self.inside(first)
+        # what fitted into one chunk is settled
+        large = self.work.table(first.where(F.col("size") > self.chunk).select("node", "chunk"), "large")
+        if large.isEmpty():
+            return self.leaders()
+        lists = lists.join(_merge(large), "node").select("sig", "node", "chunk")
+        while True:
+            self.turn += 1
+            led = lists.join(_merge(self.leaders()), "node", "left").select("sig", "node", "chunk", F.coalesce("leader", "node").alias("leader"))
+            led = self.work.table(led, self.name("led-lists"))
+            members = self.several(led.select("sig", F.col("leader").alias("node")).distinct())
+            lists = led.join(_merge(members.select("sig").distinct()), "sig", "left_semi")
+            if members.isEmpty():
+                return self.leaders()
+            if not self.inside(self.deal(members)):
+                break
+            lists = lists.select("sig", "node", "chunk")
+        # members of several components are left in these lists
+        left = self.work.table(lists, "unsettled")
+        met = left.select("sig", "chunk", "leader").distinct()
+        one, two = (met.select("sig", F.col("chunk").alias(c), F.col("leader").alias(x)) for c, x in (("c1", "l1"), ("c2", "l2")))
+        pairs = one.join(_merge(two), "sig").where("c1 < c2 and l1 != l2").select("c1", "c2").distinct()
+        sides = pairs.select("c1", "c2", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("chunk", F.when(F.col("side") == 0, F.col("c1")).otherwise(F.col("c2")))
+        self.turn += 1
+        self.compare(sides.join(_merge(left.select("node", "chunk").distinct()), "chunk").select("c1", "c2", "side", "node"))
+        return self.leaders()
+
+
+def connected(docs: DataFrame, work: Workspace, width: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, bucket_entries: int = BUCKET_ENTRIES, frequent: int = FREQUENT, coarse: int = COARSE, row_col: str = "row", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, n, component (equal for rows that links connect; null for those without shingles); row_col: a distinct long."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{row_col}`").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    size, count = measure(rows)
+    placed = with_part(rows, "row", size, count).select("doc_id", "row", "part", "text")
+    buckets, parts, salt = max(1, math.ceil(size / 6 / bucket_entries)), max(1, math.ceil(size / (1 << 20))), 0
+    kind = docs.schema[id_col].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    while True:
+        schema = f"{SCHEMA}, doc_id {kind.simpleString()}, row long, part long, n long, k1 long, k2 long, node long"
+        seen = work.table(placed.mapInArrow(_describe(width, buckets, coarse, salt, to_arrow_type(kind)), schema), f"sets-{salt}")
+        sets = seen.where("kind = 1").select("doc_id", "row", "part", "n", "k1", "k2", "node")
+        stands = sets.where("n > 0").groupBy("node").agg(F.min("row").alias("stands"), *[f(c).alias(f"{name}_{c}") for c in ("n", "k1", "k2") for name, f in (("a", F.min), ("z", F.max))])
+        stands = work.table(stands, f"nodes-{salt}")
+        if stands.where("a_n != z_n or a_k1 != z_k1 or a_k2 != z_k2").isEmpty():
+            break
+        salt += 1  # two sets have one name
+    copies = sets.where("n > 0").join(_merge(stands.select("node", "stands")), "node").where("row != stands").select("part", "row")
+    codes = dealt(seen.where("kind = 0").select("bucket", "kind", "docs", "counts", "keys"), buckets, lambda doc, key: key["bucket"].astype(np.int64), _WIDE, size, coarse=coarse)
+    levels = by_bucket(codes, size).applyInArrow(_levels(buckets, parts, coarse), SCHEMA).unionByName(copies.mapInArrow(_copies(parts, coarse), SCHEMA))
+    told = work.table(dealt(levels, parts, lambda doc, key: doc, _LEVEL, size, (_ANSWER, _COPY), coarse), "levels")
+    index = by_part(placed.select("part", "row", "text"), told, size, _index(width, percent, frequent, buckets, salt), "sig long, node long, text string")
+    index = work.table(index, "index")
+    work.drop("levels")
+    lists, texts = index.where("text is null").select("sig", "node"), index.where("text is not null").select("node", "text")
+    leaders = _Join(work, lists, texts, width, percent, chunk).run()
+    out = sets.join(_merge(leaders), "node", "left")
+    return out.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("leader", "node")).alias("component"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "ngram-join")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(10, min(22, round(math.log2(max(1, size) / 768))))  # about 128 shingles a slot
-    seen = work.table(rows.mapInArrow(_describe(bits, width), "id long, n long, k1 long, k2 long, part int, slots binary"), "sets")
-    sets = seen.where("slots is null").select("id", "n", "k1", "k2")
-    order = spark.sparkContext.broadcast(Order(slot_counts(seen)))
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    parts, buckets = parts_for(size), max(1, math.ceil(total / bucket_entries))
-    probes = rows.mapInArrow(_share(width, buckets), SCHEMA)
-    shared = work.table(probes.groupBy("bucket").applyInArrow(_shared(parts), SCHEMA), "shared")
-    work.release()
-    index = by_part(rows, shared, parts, _index(order, width, percent, buckets, buckets, hot_entries), SCHEMA)
-    lists = work.table(index.groupBy("bucket").applyInArrow(_lists, "sig long, doc long, df long"), "lists")
-    work.drop("shared")
-    work.release()
-    # what lists connect is compared together; where that is much, members of one list stay together
-    least = lists.groupBy("sig").agg(F.min("doc").alias("b"))
-    joined = components(work, lists.join(least, "sig").select(F.col("doc").alias("a"), "b"), "met")
-    main = lists.groupBy("doc").agg(F.max(F.struct("df", "sig")).alias("m"))
-    whole = main.join(joined, main["doc"] == joined["node"], "left").select("doc", "m", F.coalesce("component", "doc").alias("whole"))
-    sizes = whole.groupBy("whole").agg(F.count("*").alias("size"))
-    place = F.xxhash64("m.sig", F.pmod(F.xxhash64("doc"), F.ceil(F.col("m.df") / chunk)))
-    chunks = work.table(whole.join(sizes, "whole").select("doc", F.xxhash64("whole", F.pmod(place, F.ceil(F.col("size") / chunk))).alias("chunk")), "chunks")
-    met = lists.join(chunks, "doc").select("sig", "chunk").distinct()
-    left, right = met.withColumnRenamed("chunk", "c1"), met.withColumnRenamed("chunk", "c2")
-    pairs = left.join(right, "sig").where("c1 <= c2").select("c1", "c2").distinct()
-    sides = pairs.select("c1", "c2", F.explode(F.when(F.col("c1") == F.col("c2"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    sides = sides.withColumn("chunk", F.when(F.col("side") == 0, F.col("c1")).otherwise(F.col("c2")))
-    # the chunk table grows with the input, so it is never broadcast
-    texts = rows.join(chunks.hint("merge"), rows["id"] == chunks["doc"]).select("doc", "chunk", "text")
-    compared = sides.join(texts, "chunk").select("c1", "c2", "side", "text", "doc").repartition("c1", "c2").sortWithinPartitions("c1", "c2")
-    found = compared.mapInArrow(_verify(width, percent), "a long, b long")
-    # rows of one id are one document
-    classes = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-    own = work.table(sets.join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "own")
-    links = work.table(found.unionByName(own.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links")
-    work.release()
-    label = components(work, links)
-    out = own.join(label, own["id"] == label["node"], "left")
-    null = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "id")).alias("component_id"))
-
+    work = Workspace(docs.sparkSession, "ngram-join")
+    key = free_name(docs, "row_key")
+    found = work.table(connected(with_row_key(docs, work, key), work, row_col=key, id_col=id_col, text_col=text_col, **options), "found")
+    name = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(_merge(name), "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that stay, with their columns: of rows that links connect the one with the smallest doc_id (null is smaller than any), of several the smallest key."""
+    key = free_name(docs, "row_key")
+    keyed = with_row_key(docs, work, key)
+    found = work.table(connected(keyed, work, row_col=key, id_col=id_col, text_col=text_col, **options), "found")
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = found.join(_merge(first), "component").where("row != first.row").select(F.col("row").alias(key))
+    gone = work.table(gone, "near-copies")
+    return keyed.join(_merge(gone), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
