@@ -3,22 +3,28 @@
 A string of `length` bytes that starts in two places has, in both, the same
 smallest `GRAM`-gram hash among those inside it (winnowing), so both places
 select the same anchor. Anchors that are alone in the corpus are dropped at once.
-The context of an anchor is all that a string around it can reach. Occurrences
+The context of an anchor is what the strings that select it reach. Occurrences
 of equal contexts are repeats as a whole. Where an anchor has several contexts,
-they go to a run-length index: a run-compressed Burrows-Wheeler transform of the
-contexts, longest common prefixes at run heads, streamed to matching statistics
-of all positions; runs of suffixes that match `length` bytes are strings that
-start in several places, if those places differ. An anchor whose contexts exceed
-`INDEX_BYTES` (a passage with very many surroundings) has its strings compared by
-their hashes, which is exact as well and needs no index.
+they go to a run-length index (see run_index): a run-compressed Burrows-Wheeler
+transform with sampled run ends, through which matching statistics are streamed;
+suffixes that match `length` bytes are strings that start in several places, if
+those places differ.
 
-Entries are aggregated before they are shuffled: equal contexts in a stretch of
-documents are settled there and send one entry.
+An anchor with more than `GROUP` contexts (a short passage with very many
+surroundings) is split: every string around it reaches half of the missing bytes
+further to the left or to the right, so its contexts are dealt by the longer grams
+on both sides, equal ones are settled, and what is still too large is split again,
+at last by whole strings. So no index grows with the corpus, and nothing is left
+out.
+
+What the texts of one part share is settled inside it: of an anchor and of a
+context one entry is sent for each part.
 
 Defined results: texts are UTF-8 bytes and a null text has none; a match never
-crosses the end of a text; rows that repeat a doc_id are texts like any other, and
-rows that repeat a text repeat each other; other columns are ignored; an empty
-table gives an empty result. Strings are equal if their 64-bit hashes are.
+crosses the end of a text; rows are texts of their own even where doc_id repeats
+or is null, and rows that repeat a text repeat each other; other columns are
+ignored; an empty table gives an empty result. Contexts are equal if two
+independent 64-bit hashes are; strings in an index are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -30,25 +36,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quadrille.llm.kernel import _BYTES, U64, buffers, mix64, prefix_sums, ragged, slices
-from quadrille.llm.packed import SCHEMA, batch_of, by_part, entries, part_of, parts_for, rows_of, table_of
+from quadrille.llm.kernel import _BYTES, U64, buffers, mix64, prefix_sums, ragged, slices, span_hash
+from quadrille.llm.packed import COARSE, SCHEMA, batch_of, by_bucket, by_part, coarse_of, dealt, entries, groups, measure, rows_of, table_of, tasks_for, with_part
 from quadrille.llm.run_index import classes
-from quadrille.llm.workspace import Workspace
+from quadrille.llm.workspace import Workspace, free_name, with_row_key
 
 LENGTH = 200
-GRAM = 50
-#: Bytes of contexts that anchors share an index up to: small texts sort in cache and in few rounds.
+GRAM = 150
+#: Contexts of one anchor that an index takes; beyond, they are split by longer grams.
+GROUP = 1024
+#: Bytes of contexts that anchors share an index up to (small texts sort in cache and in few rounds), and that one task's bin is meant to hold.
 SHARED_BYTES = 60_000
-#: An anchor's contexts beyond so many bytes are compared by hashes.
-INDEX_BYTES = 1 << 20
+BIN_BYTES = 1 << 20
 #: Anchors that a task gathers before it sends them, and that one bucket is meant to hold.
 STRETCH = 400_000
 BUCKET_ANCHORS = 1_000_000
-_ANCHOR, _SPAN, _NEED, _CONTEXT = 0, 1, 2, 3
-_A = np.dtype([("h", "<u8"), ("c", "<u8"), ("pos", "<i8"), ("l", "<u2"), ("r", "<u2"), ("twice", "u1")])
-_S = np.dtype([("a", "<i8"), ("b", "<i8")])
-_N = np.dtype([("h", "<u8"), ("pos", "<i8"), ("l", "<u2"), ("r", "<u2"), ("known", "u1")])
+_NARROW = np.dtype([("lo", "<u4"), ("hi", "u1")])
+_WIDE = np.dtype([("bucket", "<u4"), ("lo", "<u4"), ("hi", "u1")])
+_CODE = np.dtype("<u8")
+_LOW = U64((1 << 40) - 1)
 
 
 def sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -61,12 +69,12 @@ def sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position in the text, hash, context hash, and bytes of context to the left and right of each anchor."""
+def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int, context: bool = False) -> tuple[np.ndarray, ...]:
+    """Row, place in the data and fingerprint of each anchor; with context also where the first string that selects it starts and the last one ends."""
     none = np.zeros(0, np.int64)
     size = np.diff(off)
     if len(data) < length or not (size >= length).any():
-        return none, none, none.view(U64), none.view(U64), none, none
+        return none, none, none.view(U64), *[none] * (2 * context)
     width = length - gram + 1  # grams of a string
     sums = prefix_sums(data)
     _, down = _BYTES.get(len(sums))
@@ -75,67 +83,64 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     top = (hashes >> U64(33)).astype(np.uint32) + np.uint32(1)
     least = sliding(top, width, np.minimum)  # of the string that starts there
     starts = len(data) - length + 1
-    ok = np.zeros(starts, bool)
     long = np.flatnonzero(size >= length)
     mark = np.zeros(starts + 1, np.int32)
     mark[off[long]] += 1
     np.add.at(mark, off[long + 1] - length + 1, -1)
     ok = np.cumsum(mark[:-1]) > 0
     best = np.zeros(n + width - 1, np.uint32)
-    best[width - 1 : width - 1 + starts] = np.where(ok, least[:starts], 0)
+    best[width - 1 : width - 1 + starts] = least = np.where(ok, least[:starts], 0)
     # a gram is an anchor if it is the smallest of any string that holds it
     chosen = np.flatnonzero(sliding(best, width, np.maximum)[:n] == top)
     row = np.searchsorted(off, chosen, "right") - 1
     inside = (size[row] >= length) & (chosen + gram <= off[row + 1])  # else the gram reaches into the next text
-    chosen, row = chosen[inside], row[inside]
-    pos = chosen - off[row]
-    left = np.minimum(pos, length - gram)
-    right = np.minimum(size[row] - pos, length)
-    begin, end = chosen - left, chosen + right
-    context = mix64((sums[end] - sums[begin]) * down[begin] + (left * 4096 + right).astype(U64))
-    return row, pos, hashes[chosen], context, left, right
-
-
-def _spans_of(rec: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rec), _S)
-    out["a"], out["b"] = rec["pos"] - rec["l"], rec["pos"] + rec["r"]
-    return out
+    row, chosen = row[inside], chosen[inside]
+    if not context:
+        return row, chosen, hashes[chosen]
+    # the strings that select an anchor are those around it of which it is the smallest gram: part of a run of equal minima
+    run = groups(least)
+    value, at = least[run], np.searchsorted(run, np.minimum(chosen, starts - 1), "right") - 1
+    live = np.flatnonzero(value[at] != top[chosen])
+    while len(live):
+        at[live] -= 1
+        live = live[value[at[live]] != top[chosen[live]]]
+    begin = np.maximum(run[at], chosen - (width - 1))
+    last = np.minimum(np.append(run[1:], starts)[at] - 1, chosen)
+    return row, chosen, hashes[chosen], begin, last + length
 
 
-def _by_context(doc: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Entries sorted by anchor and context; the starts of equal contexts and of equal anchors."""
-    by = np.lexsort((rec["pos"], doc, rec["c"], rec["h"]))
-    doc, rec = doc[by], rec[by]
-    new_h = np.append(True, rec["h"][1:] != rec["h"][:-1])[: len(rec)]
-    new_c = new_h | np.append(True, rec["c"][1:] != rec["c"][:-1])[: len(rec)]
-    return doc, rec, np.flatnonzero(new_c), np.flatnonzero(new_h)
+def _code(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket and 40 bits of an anchor; two anchors with one code count as one, which costs work only."""
+    return ((h >> U64(24)) % U64(buckets)) << U64(40) | (h & _LOW)
 
 
-def _select(length: int, gram: int, buckets: int):
-    """Anchors by bucket; equal contexts of a stretch are settled at once."""
+def _select(length: int, gram: int, buckets: int, coarse: int):
+    """The anchors of each part by bucket; kind: whether the part has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, recs, held = [], [], 0
+        parts, codes, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            doc, rec, begin, _ = _by_context(np.concatenate(docs), np.concatenate(recs))
-            docs.clear(), recs.clear()
-            count = np.diff(np.append(begin, len(rec)))
-            many = np.repeat(count > 1, count)
-            bucket = (rec["h"] % U64(buckets)).astype(np.int64)
-            done = rows_of(bucket[many], doc[many], _spans_of(rec[many]), _SPAN)
-            rec["twice"] = many
-            return batch_of(done + rows_of(bucket[begin], doc[begin], rec[begin], _ANCHOR))
+            part, code = np.concatenate(parts), np.concatenate(codes)
+            parts.clear(), codes.clear()
+            by = np.lexsort((part, code))
+            part, code = part[by], code[by]
+            at = groups(code, part)
+            several = np.diff(np.append(at, len(code))) > 1
+            part, code = part[at], code[at]
+            rec = np.zeros(len(at), _WIDE if buckets > coarse else _NARROW)
+            rec["lo"], rec["hi"] = code & U64(0xFFFFFFFF), code >> U64(32) & U64(0xFF)
+            bucket = (code >> U64(40)).astype(np.int64)
+            if buckets > coarse:
+                rec["bucket"] = bucket
+            bucket = coarse_of(bucket, buckets, coarse)
+            return batch_of([r for kind in (0, 1) for r in rows_of(bucket[several == kind], part[several == kind], rec[several == kind], kind)])
 
         for batch in slices(batches, "text"):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            row, pos, h, c, left, right = anchors(*buffers(batch.column(1)), length, gram)
-            rec = np.zeros(len(row), _A)
-            for name, x in zip(_A.names, (h, c, pos, left, right), strict=False):
-                rec[name] = x
-            docs.append(ids[row])
-            recs.append(rec)
-            held += len(rec)
+            row, _, h = anchors(*buffers(batch.column(1)), length, gram)
+            parts.append(batch.column(0).to_numpy()[row])
+            codes.append(_code(h, buckets))
+            held += len(h)
             if held > STRETCH:
                 yield flush()
                 held = 0
@@ -145,190 +150,266 @@ def _select(length: int, gram: int, buckets: int):
     return run
 
 
-def _match(parts: int):
-    """Of a bucket, by part of the text: spans of equal contexts, and the contexts that an index needs."""
+def _shared(parts: int, buckets: int, coarse: int):
+    """The anchors of a bucket that come twice, by part."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        doc, rec, begin, heads = _by_context(*entries(table, _ANCHOR, _A))
-        done_doc, done = entries(table, _SPAN, _S)
-        out = rows_of(part_of(done_doc, parts), done_doc, done, _SPAN)
-        if len(rec):
-            count = np.diff(np.append(begin, len(rec)))
-            twice = np.maximum.reduceat(rec["twice"], begin) > 0
-            full = (count > 1) | twice
-            mine = np.repeat(full, count) & (rec["twice"] == 0)
-            out += rows_of(part_of(doc[mine], parts), doc[mine], _spans_of(rec[mine]), _SPAN)
-            # anchors with several contexts: the first occurrence of each
-            of_head = np.searchsorted(heads, begin, "right") - 1
-            several = np.bincount(of_head, minlength=len(heads))[of_head] > 1
-            pick = begin[several]
-            need = np.zeros(len(pick), _N)
-            for name in ("h", "pos", "l", "r"):
-                need[name] = rec[name][pick]
-            need["known"] = full[several]
-            out += rows_of(part_of(doc[pick], parts), doc[pick], need, _NEED)
-        return table_of(out)
+        kind = _WIDE if buckets > coarse else _NARROW
+        (p0, r0), (p1, r1) = entries(table, 0, kind), entries(table, 1, kind)
+        part, rec, several = np.concatenate([p0, p1]), np.concatenate([r0, r1]), np.arange(len(p0) + len(p1)) >= len(p0)
+        code = rec["lo"].astype(U64) | rec["hi"].astype(U64) << U64(32)
+        by = np.argsort(code, kind="stable")
+        at = groups(code[by])
+        if not len(at):
+            return table_of([])
+        size = np.diff(np.append(at, len(by)))
+        mine = by[np.repeat((size > 1) | np.logical_or.reduceat(several[by], at), size)]
+        return table_of(rows_of(coarse_of(part[mine], parts, coarse), part[mine], U64(key[0].as_py()) << U64(40) | code[mine]))
 
     return run
 
 
-_CONTEXTS = SCHEMA + ", data binary"
+_SPANS = "part long, row long, a long, b long"
+_CONTEXTS = "part long, key long, c long, c2 long, row long, at long, size int, gram int, several boolean"
+_CONTEXT = pa.schema([("part", pa.int64()), *[(x, pa.int64()) for x in ("key", "c", "c2", "row", "at")], ("size", pa.int32()), ("gram", pa.int32()), ("several", pa.bool_())])
 
 
-def _extract(buckets: int):
-    """The contexts that are needed from a part, by bucket of the anchor."""
+def _contexts(length: int, gram: int, buckets: int):
+    """Of a part: the contexts of anchors that come twice; of equal ones the first place, and rows of their own (key null) for the spans of all."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
-        doc, need = entries(answers, _NEED, _N)
-        found: dict[int, tuple[list, list, list]] = {}
-        if len(doc):
-            by = np.argsort(doc, kind="stable")
-            doc, need = doc[by], need[by]
-            seen: set[int] = set()
-            for batch in slices(texts.to_batches(), "text"):
-                data, off = buffers(batch.column(2))
-                ids = batch.column(1).to_numpy(zero_copy_only=False)
-                first = np.array([i not in seen and not seen.add(i) for i in ids.tolist()], bool)  # one of equal rows will do
-                lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
-                n = np.where(first, hi - lo, 0)
-                at, row = ragged(lo, n), np.repeat(np.arange(len(ids)), n)
-                rec = need[at]
-                size = (rec["l"] + rec["r"]).astype(np.int64)
-                begin = off[row] + rec["pos"] - rec["l"]
-                bucket = (rec["h"] % U64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    mine = order[cut[b] : cut[b + 1]]
-                    if len(mine):
-                        held = found.setdefault(b, ([], [], []))
-                        held[0].append(ids[row[mine]])
-                        held[1].append(rec[mine])
-                        held[2].append(data[ragged(begin[mine], size[mine])])
-        rows = []
-        for b, (d, r, x) in found.items():
-            d = np.concatenate(d)
-            rows.append((b, _CONTEXT, d.astype("<i8").tobytes(), np.ones(len(d), "<u4").tobytes(), np.concatenate(r).tobytes(), np.concatenate(x).tobytes()))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kind", "docs", "counts", "keys", "data"])
+        codes = np.sort(entries(answers, 0, _CODE)[1])
+        found = []
+        for batch in slices(texts.select(["row", "text"]).to_batches(), "text") if len(codes) else ():
+            data, off = buffers(batch.column(1))
+            row, place, h, begin, end = anchors(data, off, length, gram, context=True)
+            mine = _code(h, buckets)
+            use = codes[np.minimum(np.searchsorted(codes, mine), len(codes) - 1)] == mine
+            row, place, h, begin, end = (x[use] for x in (row, place, h, begin, end))
+            c, c2 = (mix64(span_hash(data, begin, end, seed) + (place - begin).astype(U64)) for seed in (0, 1))
+            found.append((h.view(np.int64), c.view(np.int64), c2.view(np.int64), batch.column(0).to_numpy()[row], begin - off[row], end - begin, place - begin))
+        if not found:
+            return _CONTEXT.empty_table()
+        h, c, c2, row, at, size, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((at, row, c2, c, h))
+        h, c, c2, row, at, size, offset = (x[by] for x in (h, c, c2, row, at, size, offset))
+        lead = groups(h, c, c2)
+        count = np.diff(np.append(lead, len(h)))
+        many = np.flatnonzero(np.repeat(count > 1, count))
+        part = key[0].as_py()
+
+        def table_of_rows(use: np.ndarray, several: np.ndarray, known: bool) -> pa.Table:
+            columns = [np.full(len(use), part), h[use], c[use], c2[use], row[use], at[use], size[use].astype(np.int32), offset[use].astype(np.int32), several]
+            arrays = [pa.array(x) for x in columns]
+            if known:
+                arrays[1] = pa.nulls(len(use), pa.int64())
+            return pa.table(arrays, schema=_CONTEXT)
+
+        return pa.concat_tables([table_of_rows(lead, count > 1, False), table_of_rows(many, np.ones(len(many), bool), True)])
 
     return run
 
 
-def repeated(doc: np.ndarray, rec: np.ndarray, data: np.ndarray, length: int, index_bytes: int = INDEX_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Document and span of every string of `length` bytes in the contexts that starts in a second place among them."""
-    size = (rec["l"] + rec["r"]).astype(np.int64)
+_ITEMS = "part long, key long, row long, at long, gram int, size int, known boolean, data binary"
+
+
+def _extract(key: tuple[pa.Scalar, ...], texts: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The bytes of the contexts that are wanted from a part."""
+    schema = pa.schema([*[(x, pa.int64()) for x in ("part", "key", "row", "at")], ("gram", pa.int32()), ("size", pa.int32()), ("known", pa.bool_()), ("data", pa.binary())])
+    row = wanted["row"].to_numpy()
+    by = np.argsort(row, kind="stable")
+    row = row[by]
+    out = []
+    for batch in slices(texts.select(["row", "text"]).to_batches(), "text") if len(row) else ():
+        data, off = buffers(batch.column(1))
+        ids = batch.column(0).to_numpy()
+        lo = np.searchsorted(row, ids, "left")
+        count = np.searchsorted(row, ids, "right") - lo
+        mine, text = by[ragged(lo, count)], np.repeat(np.arange(len(ids)), count)
+        if not len(mine):
+            continue
+        rows = wanted.take(pa.array(mine))
+        size = rows["size"].to_numpy().astype(np.int64)
+        raw = data[ragged(off[text] + rows["at"].to_numpy(), size)]
+        ends = np.append(0, np.cumsum(size)).astype(np.int32)
+        held = pa.BinaryArray.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        out.append(pa.table([*[rows[n].combine_chunks() for n in schema.names[:-1]], held], schema=schema))
+    return pa.concat_tables(out) if out else schema.empty_table()
+
+
+_PIECES = "part long, key long, c long, c2 long, row long, at long, gram int, size int, known boolean, data binary"
+
+
+def _longer(glen: int, length: int) -> int:
+    return glen + -(-(length - glen) // 2)
+
+
+def _split(length: int, glen: int):
+    """Each context under the two grams that reach half of the missing bytes further."""
+    schema = pa.schema([*[(x, pa.int64()) for x in ("part", "key", "c", "c2", "row", "at")], ("gram", pa.int32()), ("size", pa.int32()), ("known", pa.bool_()), ("data", pa.binary())])
+
+    new = _longer(glen, length)
+    grow = new - glen
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "data"):
+            data, off = buffers(batch.column(batch.schema.get_field_index("data")))
+            part, row, at, gram = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("part", "row", "at", "gram"))
+            for side in (0, 1):
+                first = off[:-1] + gram - (grow if side else 0)
+                use = np.flatnonzero((first >= off[:-1]) & (first + new <= off[1:]))
+                begin = np.maximum(off[use], first[use] - (length - new))
+                end = np.minimum(off[use + 1], first[use] + length)
+                whole = end - begin >= length
+                use, begin, end = use[whole], begin[whole], end[whole]
+                g = first[use]
+                key = mix64(span_hash(data, g, g + new, 2) + U64(side))
+                c, c2 = (mix64(span_hash(data, begin, end, seed) + (g - begin).astype(U64)) for seed in (0, 1))
+                size = end - begin
+                ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                held = pa.BinaryArray.from_buffers(pa.binary(), len(use), [None, pa.py_buffer(ends), pa.py_buffer(data[ragged(begin, size)])])
+                columns = [part[use], key.view(np.int64), c.view(np.int64), c2.view(np.int64), row[use], at[use] + begin - off[use], (g - begin).astype(np.int32), size.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in columns], batch.column(batch.schema.get_field_index("known")).take(pa.array(use)), held], schema=schema)
+
+    return run
+
+
+def repeated(key: np.ndarray, row: np.ndarray, at: np.ndarray, known: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every string of `length` bytes in contexts that aren't known yet that starts in a second place among those of its key; joined where they overlap."""
     place = np.cumsum(size) - size
-    by = np.lexsort((rec["pos"], doc, rec["h"]))
-    doc, rec, size, place = doc[by], rec[by], size[by], place[by]
-    head = np.flatnonzero(np.append(True, rec["h"][1:] != rec["h"][:-1])[: len(rec)])
-    ends = np.append(head[1:], len(rec))
-    total = np.concatenate([[0], np.cumsum(size)])
-    docs, spans, at = [], [], 0
-    while at < len(head):
+    by = np.lexsort((at, row, key))
+    key, row, at, known, size, place = (x[by] for x in (key, row, at, known, size, place))
+    head = groups(key)
+    ends = np.append(head[1:], len(key))
+    total = np.append(0, np.cumsum(size))
+    rows, firsts, turn = [], [], 0
+    while turn < len(head):
         # whole groups up to SHARED_BYTES, or one larger group
-        to = max(at + 1, int(np.searchsorted(total[ends], total[head[at]] + min(SHARED_BYTES, index_bytes), "right")))
-        lo, hi = head[at], ends[to - 1]
-        text = data[ragged(place[lo:hi], size[lo:hi])]
-        begin = total[lo:hi] - total[lo]
-        if len(text) > index_bytes:
-            where, number = _hashed(text, begin, size[lo:hi], length)
-        else:
-            where, number = classes(text, np.repeat(begin + size[lo:hi], size[lo:hi]), length)
+        to = max(turn + 1, int(np.searchsorted(total[ends], total[head[turn]] + SHARED_BYTES, "right")))
+        mine = slice(head[turn], ends[to - 1])
+        text = data[ragged(place[mine], size[mine])]
+        begin = total[mine] - total[head[turn]]
+        where, number = classes(text, np.repeat(begin + size[mine], size[mine]), length)
         owner = np.searchsorted(begin, where, "right") - 1
-        d = doc[lo:hi][owner]
-        pos = (rec["pos"][lo:hi] - rec["l"][lo:hi])[owner] + where - begin[owner]
-        order = np.lexsort((pos, d, number))
-        number, d, pos, known = number[order], d[order], pos[order], rec["known"][lo:hi][owner][order]
-        new = np.append(True, number[1:] != number[:-1])[: len(number)]
-        other = np.append(False, (d[1:] != d[:-1]) | (pos[1:] != pos[:-1]))[: len(number)] & ~new
-        group = np.cumsum(new) - 1
-        more = np.bincount(group, weights=other, minlength=int(new.sum()) if len(new) else 0) > 0
-        hit = more[group] & (known == 0) if len(group) else np.zeros(0, bool)
-        out = np.zeros(int(hit.sum()), _S)
-        out["a"], out["b"] = pos[hit], pos[hit] + length
-        # strings that follow each other are one span
-        o = np.lexsort((out["a"], d[hit]))
-        docs.append(d[hit][o])
-        spans.append(out[o])
-        at = to
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, _S)
-    doc, span = np.concatenate(docs), np.concatenate(spans)
-    by = np.lexsort((span["a"], doc))
-    doc, span = doc[by], span[by]
-    if not len(doc):
-        return doc, span
-    new = np.append(True, (doc[1:] != doc[:-1]) | (span["a"][1:] > span["b"][:-1]))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    out = np.zeros(len(first), _S)
-    out["a"], out["b"] = span["a"][first], span["b"][last]
-    return doc[first], out
-
-
-def _hashed(text: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """As run_index.classes, by the hash of each string."""
-    count = np.maximum(0, size - length + 1)
-    at = ragged(begin, count)
-    sums = prefix_sums(text)
-    _, down = _BYTES.get(len(sums))
-    h = mix64((sums[at + length] - sums[at]) * down[at])
-    return at, np.unique(h, return_inverse=True)[1]
-
-
-def _search(length: int, parts: int, index_bytes: int):
+        r, pos = row[mine][owner], at[mine][owner] + where - begin[owner]
+        order = np.lexsort((pos, r, number))
+        number, r, pos, told = number[order], r[order], pos[order], known[mine][owner][order]
+        new = groups(number)
+        if len(new):
+            count = np.diff(np.append(new, len(number)))
+            last = np.append(new[1:], len(number)) - 1
+            differ = np.repeat((r[new] != r[last]) | (pos[new] != pos[last]), count)
+            rows.append(r[differ & ~told])
+            firsts.append(pos[differ & ~told])
+        turn = to
+    row, first = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, firsts))
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 3
+    by = np.lexsort((first, row))
+    row, first = row[by], first[by]
+    lead = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (first[1:] > first[:-1] + length))[: len(row)])
+    last = np.append(lead[1:], len(row)) - 1
+    return row[lead], first[lead], first[last] + length
+
+
+def _search(length: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        doc, rec = entries(table, _CONTEXT, _N)
         data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
-        doc, span = repeated(doc, rec, data, length, index_bytes)
-        return table_of(rows_of(part_of(doc, parts), doc, span, _SPAN))
+        columns = [table[n].to_numpy() for n in ("key", "row", "at", "known")]
+        row, a, b = repeated(*columns, table["size"].to_numpy().astype(np.int64), data, length)
+        names, first = np.unique(columns[1], return_index=True)
+        part = table["part"].to_numpy()[first[np.searchsorted(names, row)]]
+        return pa.table({"part": pa.array(part), "row": pa.array(row), "a": pa.array(a), "b": pa.array(b)})
 
     return run
 
 
-def _remove(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
-    doc, span = entries(answers, _SPAN, _S)
-    by = np.argsort(doc, kind="stable")
-    doc, span = doc[by], span[by]
-    out = []
-    for batch in slices(texts.to_batches(), "text"):
-        data, off = buffers(batch.column(2))
-        ids, n = batch.column(1).to_numpy(zero_copy_only=False), batch.num_rows
-        lo, count = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right") - np.searchsorted(doc, ids, "left")
-        at, row = ragged(lo, count), np.repeat(np.arange(n), count)
-        mark = np.zeros(len(data) + 1, np.int32)
-        np.add.at(mark, off[row] + span["a"][at], 1)
-        np.subtract.at(mark, off[row] + span["b"][at], 1)
-        gone = np.cumsum(mark[:-1]) > 0
-        row_of = np.repeat(np.arange(n), np.diff(off))
-        first = gone & np.append(True, ~gone[:-1] | (row_of[1:] != row_of[:-1]))[: len(gone)]
-        removed, runs = np.bincount(row_of[gone], minlength=n), np.bincount(row_of[first], minlength=n)
-        to = np.concatenate([[0], np.cumsum(np.diff(off) - removed)])
-        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(data[~gone])]).cast(pa.binary())
-        out.append(pa.table({"doc": batch.column(3), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed), "n_spans": pa.array(runs), "kept": kept}))
-    i64 = pa.array([], pa.int64())
-    return pa.concat_tables(out) if out else pa.table({"doc": i64, "n_bytes": i64, "n_removed": i64, "n_spans": i64, "kept": pa.array([], pa.binary())})
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index_bytes: int = INDEX_BYTES, bucket_anchors: int = BUCKET_ANCHORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _remove(id_type: pa.DataType):
+    schema = pa.schema([("doc_id", id_type), *[(x, pa.int64()) for x in ("n_bytes", "n_removed", "n_spans")], ("kept", pa.binary())])
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+        spans = [answers[n].to_numpy() for n in ("row", "a", "b")]
+        by = np.argsort(spans[0], kind="stable")
+        held, a, b = (x[by] for x in spans)
+        out = []
+        for batch in slices(texts.select(["row", "doc_id", "text"]).to_batches(), "text"):
+            data, off = buffers(batch.column(2))
+            ids, n = batch.column(0).to_numpy(), batch.num_rows
+            lo = np.searchsorted(held, ids, "left")
+            count = np.searchsorted(held, ids, "right") - lo
+            at, row = ragged(lo, count), np.repeat(np.arange(n), count)
+            mark = np.zeros(len(data) + 1, np.int32)
+            np.add.at(mark, off[row] + a[at], 1)
+            np.subtract.at(mark, off[row] + b[at], 1)
+            gone = np.cumsum(mark[:-1]) > 0
+            row_of = np.repeat(np.arange(n), np.diff(off))
+            first = gone & np.append(True, ~gone[:-1] | (row_of[1:] != row_of[:-1]))[: len(gone)]
+            removed, runs = np.bincount(row_of[gone], minlength=n), np.bincount(row_of[first], minlength=n)
+            to = np.concatenate([[0], np.cumsum(np.diff(off) - removed)])
+            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(data[~gone])]).cast(pa.binary())
+            out.append(pa.table([batch.column(1).cast(id_type), pa.array(np.diff(off)), pa.array(removed), pa.array(runs), kept], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return run
+
+
+def _settled(work: Workspace, rows: DataFrame, told: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of contexts (key, c, c2, row, at, ...): one of each, known if it is a repeat as a whole, and the spans that follow; told: a column that says whose spans are there."""
+    by = ["key", "c", "c2"]
+    equal = rows.groupBy(by).agg(F.count("*").alias("n"), F.max(told).alias("any"), F.min(F.struct("row", "at")).alias("first"))
+    joined = work.table(rows.join(equal.hint("merge"), by), name)
+    spans = joined.where((F.col("n") > 1) & ~F.col(told)).select("part", "row", F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b"))
+    one = joined.where((F.col("row") == F.col("first.row")) & (F.col("at") == F.col("first.at"))).withColumn("known", F.col("any") | (F.col("n") > 1))
+    return one.drop("n", "any", "first", "c", "c2"), spans
+
+
+def _cogroup(texts: DataFrame, answers: DataFrame, size: int):
+    n = tasks_for(texts, size)
+    return texts.repartition(n, "part").groupBy("part").cogroup(answers.repartition(n, "part").groupBy("part"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, bucket_anchors: int = BUCKET_ANCHORS, coarse: int = COARSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every row."""
     if not 0 < gram < length:
         raise ValueError("an anchor must be shorter than a string")
-    work = Workspace(docs.sparkSession, "suffix-dedup")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # a text is known by the hash of its id and bytes: equal rows have equal spans
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("id"), text.alias("text"), F.col(id_col).cast("long").alias("doc"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = parts_for(size)
-    buckets = max(1, math.ceil(2 * size / (length - gram) / bucket_anchors))
-    chosen = rows.select("id", "text").mapInArrow(_select(length, gram, buckets), SCHEMA)
-    matched = work.table(chosen.groupBy("bucket").applyInArrow(_match(parts), SCHEMA), "matched")
-    work.release()
-    contexts = by_part(rows, matched.where(F.col("kind") == _NEED), parts, _extract(parts), _CONTEXTS)
-    found = work.table(contexts.groupBy("bucket").applyInArrow(_search(length, parts, index_bytes), SCHEMA), "found")
-    work.release()
-    spans = matched.where(F.col("kind") == _SPAN).unionByName(found)
-    out = by_part(rows, spans, parts, _remove, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    work, kind = Workspace(docs.sparkSession, "suffix-dedup"), docs.schema[id_col].dataType
+    name = free_name(docs, "row_key")
+    rows = with_row_key(docs, work, name).select(F.col(name).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    size, count = measure(rows)
+    placed = with_part(rows, "row", size, count).select("part", "row", "doc_id", "text")
+    texts = placed.select("part", "row", "text")
+    parts, buckets = max(1, math.ceil(size / (1 << 20))), max(1, math.ceil(2 * size / (length - gram) / bucket_anchors))
+    # anchors that come twice, and their contexts
+    chosen = placed.select("part", "text").mapInArrow(_select(length, gram, buckets, coarse), SCHEMA)
+    chosen = dealt(chosen, buckets, lambda part, rec: rec["bucket"].astype(np.int64), _WIDE, size, (0, 1), coarse)
+    twice = by_bucket(chosen, size).applyInArrow(_shared(parts, buckets, coarse), SCHEMA)
+    twice = work.table(dealt(twice, parts, lambda part, code: part, _CODE, size, coarse=coarse), "twice")
+    found = work.table(by_part(texts, twice, size, _contexts(length, gram, buckets), _CONTEXTS), "contexts")
+    work.drop("twice")
+    one, equal = _settled(work, found.where("key is not null"), "several", "settled")
+    spans = [found.where("key is null").select("part", "row", F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b")), equal]
+    # the bytes of the contexts of anchors that have several
+    many = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    wanted = one.join(many.hint("merge"), "key").select("part", "key", "row", "at", "gram", "size", "known")
+    items, glen, turn = work.table(_cogroup(texts, wanted, size).applyInArrow(_extract, _ITEMS), "items-0"), gram, 0
+    while True:
+        number = items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        counted = items.join(number.hint("merge"), "key")
+        ready = counted.where(F.col("n") <= group)
+        bins = max(1, math.ceil((ready.agg(F.sum("size")).first()[0] or 0) / BIN_BYTES))
+        binned = ready.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).repartition(tasks_for(docs, bins * BIN_BYTES), "bin")
+        spans.append(work.table(binned.groupBy("bin").applyInArrow(_search(length), _SPANS), f"spans-{turn}"))
+        large = counted.where(F.col("n") > group).drop("n")
+        if large.isEmpty():
+            break
+        pieces = work.table(large.select(*[x.split()[0] for x in _ITEMS.split(", ")]).mapInArrow(_split(length, glen), _PIECES), f"pieces-{turn}")
+        turn, glen = turn + 1, _longer(glen, length)
+        # neighbouring anchors of one text can lead to one and the same piece
+        one, equal = _settled(work, pieces.dropDuplicates(["key", "c", "c2", "row", "at"]), "known", f"settled-{turn}")
+        spans.append(equal)
+        items = one.select("part", "key", "row", "at", "gram", "size", "known", "data")
+    answers = spans[0]
+    for more in spans[1:]:
+        answers = answers.unionByName(more)
+    out = _cogroup(placed, answers, size)
+    return out.applyInArrow(_remove(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
