@@ -1,15 +1,18 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton holds words of its labelled texts. A text
-is parsed, word by word, into the fewest longest matches with the automaton; the
-number of phrases times log2 of the automaton's text size, over the number of
-letters, estimates the cross-entropy, and the language with the lowest estimate
-wins. Parsing starts anew at every word, so the phrases of a distinct word are
-counted once by a worker, however often it comes.
+For each language a suffix automaton holds labelled texts: lower-cased UTF-8, each
+run of ASCII bytes that are no letters as one blank. A text is parsed from its
+start into the fewest longest matches with the automaton, across words; the number
+of phrases times log2 of the automaton's text size, over the number of symbols,
+estimates the cross-entropy, and the language with the lowest estimate wins. Many
+stretches of `STRETCH` symbols are parsed side by side, so a match ends at the end
+of a stretch too.
 
 Training reads a bounded sample: about `sample_rows` labelled rows of each
-language, by a hash of the id, and of their words the `top_words` most frequent;
-a word of more than `PIECE` letters counts as its pieces, as in parsing.
+language, by a hash of the id, and their whole texts. Symbols are bytes, so an
+automaton's table has at most 256 columns whatever the alphabet; only states with
+several successors have a row of it. A worker's memory grows with the number of
+languages and with `sample_rows`.
 
 Defined results: a text that is null or has no letter is `und` with score 0;
 equal estimates go to the first language by name; if nothing was learned, every
@@ -23,41 +26,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from quadrille.llm.kernel import LOWER, buffers, byte_class, prefix_sums, slices, span_hash, spans
+from quadrille.llm.kernel import buffers, byte_class, slices
 
-SAMPLE_ROWS = 800
-TOP_WORDS = 6000
-#: Words that a worker remembers before it starts anew.
-MEMO_WORDS = 1_000_000
-#: Bits of cross-entropy a letter that change the odds by a factor of e**8.
+SAMPLE_ROWS = 100
+#: Symbols that are parsed in one go.
+STRETCH = 512
+#: Bits of cross-entropy a symbol that change the odds by a factor of e**8.
 SHARPNESS = 8.0
-#: Longer words are learned and parsed in pieces of so many letters.
-PIECE = 64
-
+BLANK = 0x20
 _LETTERS = byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
+_ASCII_LETTERS = byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B)])
+
+
+def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, one after the other, and where each text's start (with the end)."""
+    data, off = buffers(pc.utf8_lower(column))
+    inside = _LETTERS[data]
+    # a blank stands before each word, and none behind the last
+    keep = inside.copy()
+    first = np.zeros(len(data), bool)
+    first[off[:-1][off[:-1] < off[1:]]] = True
+    before = np.append(False, inside[:-1]) & ~first
+    start = inside & ~before
+    count = np.cumsum(keep.astype(np.int64) + start)
+    out = np.full(int(count[-1]) if len(count) else 0, BLANK, np.uint8)
+    out[count[keep] - 1] = data[keep]
+    return out, np.append(0, count)[off] if len(count) else np.zeros(len(off), np.int64)
+
+
+def lettered(column: pa.Array) -> np.ndarray:
+    """Whether each text has a letter of any script."""
+    data, off = buffers(column)
+    total = lambda mask: np.append(0, np.cumsum(mask))
+    ascii_letters, high = total(_ASCII_LETTERS[data]), total(data >= 0x80)
+    out = ascii_letters[off[1:]] > ascii_letters[off[:-1]]
+    for i in np.flatnonzero(~out & (high[off[1:]] > high[off[:-1]])).tolist():
+        out[i] = any(c.isalpha() for c in column[i].as_py())
+    return out
 
 
 class SuffixAutomaton:
-    """Of several words, each with marks for its start and end; kept as an edge list."""
+    """Of several texts (bytes); after `freeze` as arrays."""
 
-    def __init__(self, words: list[str], alphabet: dict[str, int]):
+    def __init__(self, texts: list[bytes]):
         edges, link, longest = [{}], [-1], [0]
         self.size = 0
-        for word in words:
+        for text in texts:
             last = 0
-            symbols = [1, *(alphabet.get(c, 0) for c in word), 2]
-            self.size += len(symbols)
-            for s in symbols:
+            self.size += len(text)
+            for s in text:
                 if s in edges[last]:  # a prefix that is already there
                     q = edges[last][s]
-                    if longest[q] == longest[last] + 1:
-                        last = q
-                        continue
-                    last = self._clone(edges, link, longest, last, q, s)
+                    last = q if longest[q] == longest[last] + 1 else self._clone(edges, link, longest, last, q, s)
                     continue
                 cur, p = len(edges), last
                 edges.append({})
@@ -70,10 +96,7 @@ class SuffixAutomaton:
                     q = edges[p][s]
                     link[cur] = q if longest[q] == longest[p] + 1 else self._clone(edges, link, longest, p, q, s)
                 last = cur
-        self.states = len(edges)
-        self.source = np.array([a for a, e in enumerate(edges) for _ in e], np.int32)
-        self.symbol = np.array([s for e in edges for s in e], np.int32)
-        self.target = np.array([t for e in edges for t in e.values()], np.int32)
+        self._freeze(edges)
 
     @staticmethod
     def _clone(edges, link, longest, p, q, s) -> int:
@@ -87,152 +110,127 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
-    def table(self, symbols: int) -> np.ndarray:
-        """The transition of each state and symbol, -1 where there is none."""
-        out = np.full((self.states, symbols), -1, np.int32)
-        out[self.source, self.symbol] = self.target
-        return out
+    def _freeze(self, edges: list[dict[int, int]]) -> None:
+        """`single`: target * 256 + symbol of a state with one successor; `row`, `dense`: the successors of the others."""
+        known = sorted({s for e in edges for s in e})
+        self.column = np.zeros(256, np.int64)  # column 0: a symbol that never comes
+        self.column[known] = np.arange(1, len(known) + 1)
+        several = [i for i, e in enumerate(edges) if len(e) > 1 or not i]
+        self.single, self.row = np.zeros(len(edges), np.int64), np.zeros(len(edges), np.int64)  # no symbol is 0
+        self.row[several] = np.arange(1, len(several) + 1)  # row 0: no successor
+        self.dense = np.full((len(several) + 1, len(known) + 1), -1, np.int32)
+        for k, i in enumerate(several, 1):
+            self.dense[k, self.column[list(edges[i])]] = list(edges[i].values())
+        for i, e in enumerate(edges):
+            if len(e) == 1 and i:
+                ((s, to),) = e.items()
+                self.single[i] = to << 8 | s
+
+    def nbytes(self) -> int:
+        return self.single.nbytes + self.row.nbytes + self.dense.nbytes
+
+    def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Phrases of each lane; lanes: symbols by position and lane, lanes in descending order of length."""
+        n = len(lengths)
+        state, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        width = self.dense.shape[1]
+        flat, root = self.dense.ravel(), self.dense[1]
+        live = np.searchsorted(-lengths, -np.arange(1, lanes.shape[0] + 1), "right")  # lanes that reach each position
+        for j in range(lanes.shape[0]):
+            m = int(live[j])
+            at, symbol = state[:m], lanes[j, :m]
+            column = self.column[symbol]
+            one = self.single[at]
+            to = np.where((one & 0xFF) == symbol, one >> 8, flat[self.row[at] * width + column])
+            fail = np.flatnonzero(to < 0)
+            if len(fail):
+                again = root[column[fail]]
+                # the phrase that ends here, and a symbol that the language does not know
+                count[fail] += (at[fail] != 0).astype(np.int64) + (again < 0)
+                to[fail] = np.maximum(again, 0)
+            state[:m] = to
+        return count + (state != 0)
 
 
 class Model:
     """One automaton for each language, sorted by name."""
 
-    def __init__(self, words: dict[str, list[str]]):
-        self.languages = sorted(words)
-        letters = sorted({c for ws in words.values() for w in ws for c in w})
-        self.alphabet = {c: i + 3 for i, c in enumerate(letters)}
-        self.automata = [SuffixAutomaton(words[x], self.alphabet) for x in self.languages]
+    def __init__(self, automata: dict[str, SuffixAutomaton]):
+        self.languages = sorted(automata)
+        self.automata = [automata[x] for x in self.languages]
         self.bits = np.log2(np.array([max(2, a.size) for a in self.automata], float))
 
-    def tables(self) -> list[np.ndarray]:
-        return [a.table(len(self.alphabet) + 3) for a in self.automata]
-
-
-def parse(tables: list[np.ndarray], symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Phrases of each word (a row of `symbols`) in each language."""
-    out = np.zeros((len(lengths), len(tables)), np.int64)
-    for k, table in enumerate(tables):
-        state, count = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int64)
-        for j in range(symbols.shape[1]):
-            live = j < lengths
-            to = table[state, symbols[:, j]]
-            fail = live & (to < 0)
-            count += fail & (state != 0)
-            again = table[0, symbols[:, j]]
-            lone = fail & (again < 0)  # a symbol that the language does not know is a phrase of its own
-            count += lone
-            state = np.where(fail, np.maximum(again, 0), np.where(live, to, state))
-        out[:, k] = count + (state != 0)
-    return out
+    def totals(self, column: pa.Array) -> np.ndarray:
+        """For each text: symbols, then phrases in each language."""
+        data, off = symbols(column)
+        n = len(column)
+        pieces = -(-np.diff(off) // STRETCH)
+        row = np.repeat(np.arange(n), pieces)
+        begin = off[row] + STRETCH * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        length = np.minimum(STRETCH, off[row + 1] - begin)
+        by = np.argsort(-length, kind="stable")
+        row, begin, length = row[by], begin[by], length[by]
+        longest = int(length[0]) if len(length) else 0
+        padded = np.append(data, np.zeros(STRETCH, np.uint8))
+        lanes = padded[begin[None, :] + np.arange(longest)[:, None]] if longest else np.zeros((0, 0), np.uint8)
+        out = np.zeros((n, len(self.automata) + 1))
+        out[:, 0] = np.diff(off)
+        for k, automaton in enumerate(self.automata, 1):
+            out[:, k] = np.bincount(row, weights=automaton.phrases(lanes, length), minlength=n)
+        return out
 
 
-class Parser:
-    """A worker's model with the phrase counts of the words it has met."""
-
-    def __init__(self, model: Model):
-        self.model, self.tables = model, model.tables()
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[int, int] = {}
-        self.counts = np.zeros((1 << 14, len(self.tables) + 1), np.int32)
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        """Counts of new words: their letters, then their phrases in each language."""
-        cleaned = ["".join(c for c in w.lower() if c.isalpha()) for w in words]
-        pieces = [(i, w[a : a + PIECE]) for i, w in enumerate(cleaned) for a in range(0, len(w), PIECE)]
-        n = len(self.index)
-        while n + len(words) > len(self.counts):
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        counts = self.counts[n : n + len(words)]
-        counts[:] = 0
-        counts[:, 0] = [len(w) for w in cleaned]
-        get = self.model.alphabet.get
-        for at in range(0, len(pieces), 1 << 15):
-            part = pieces[at : at + (1 << 15)]
-            symbols = np.zeros((len(part), max(len(w) for _, w in part) + 2), np.int64)
-            lengths = np.array([len(w) + 2 for _, w in part])
-            symbols[:, 0] = 1
-            inside = np.arange(symbols.shape[1])[None, :]
-            symbols[(inside > 0) & (inside < lengths[:, None] - 1)] = [get(c, 0) for _, w in part for c in w]
-            symbols[np.arange(len(part)), lengths - 1] = 2
-            np.add.at(counts[:, 1:], [i for i, _ in part], parse(self.tables, symbols, lengths))
-        self.index.update(zip(hashes, range(n, n + len(words)), strict=True))
-
-    def totals(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """For each row: letters, then phrases in each language."""
-        if len(self.index) > MEMO_WORDS:
-            self.forget()
-        low = LOWER[data]
-        starts, ends, rows = spans(low, off, _LETTERS)
-        out = np.zeros((len(off) - 1, len(self.tables) + 1))
-        if not len(starts):
-            return out
-        hashes, first, inverse = np.unique(span_hash(prefix_sums(low), starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        at = [self.index.get(h, -1) for h in keys]
-        if new := [i for i, x in enumerate(at) if x < 0]:
-            raw = low.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in first[new].tolist()])
-            for i in new:
-                at[i] = self.index[keys[i]]
-        words = self.counts[np.array(at)[inverse]]
-        for k in range(words.shape[1]):
-            out[:, k] = np.bincount(rows, weights=words[:, k], minlength=len(out))
-        return out
+def _build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    import pickle
 
+    data, off = symbols(table["text"].combine_chunks())
+    raw = data.tobytes()
+    automaton = SuffixAutomaton(sorted(raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)))
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "automaton": pa.array([pickle.dumps(automaton)], pa.binary())})
 
-def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, top_words: int = TOP_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+
+def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on (id, text, language) rows; rows without a language are left out."""
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    import pickle
+
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return Model({})
     every = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, n // sample_rows))])
     sample = rows.where(F.pmod(F.xxhash64("id"), F.element_at(every, F.col("lang"))) == 0)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, off = buffers(batch.column(0))
-            low = LOWER[data]
-            starts, ends, at = spans(low, off, _LETTERS)
-            raw, langs = low.tobytes(), batch.column(1).to_pylist()
-            seen: dict[tuple[str, str], int] = {}
-            for s, e, r in zip(starts.tolist(), ends.tolist(), at.tolist(), strict=True):
-                word = "".join(c for c in raw[s:e].decode("utf-8", "replace").lower() if c.isalpha())
-                for a in range(0, len(word), PIECE):
-                    key = (langs[r], word[a : a + PIECE])
-                    seen[key] = seen.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
-
-    words = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word"), "word")
-    found: dict[str, list[str]] = {k: [] for k in counts}
-    for r in words.select("lang", "word", F.row_number().over(best).alias("k")).where(F.col("k") <= top_words).orderBy("lang", "k").collect():
-        found[r[0]].append(r[1])
-    return Model({k: v for k, v in found.items() if v})
+    built = sample.select("lang", "text").groupBy("lang").applyInArrow(_build, "lang string, automaton binary")
+    found = {r[0]: pickle.loads(r[1]) for r in built.collect()}  # one automaton a language, of the sample's size
+    return Model({k: v for k, v in found.items() if v.size})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", sharpness: float = SHARPNESS) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return with_language(rows, model, "lang_pred", "score", "text", sharpness, drop_text=True)
+
+
+def with_language(docs: DataFrame, model: Model, lang_name: str, score_name: str, text_col: str = "text", sharpness: float = SHARPNESS, drop_text: bool = False) -> DataFrame:
+    """All columns and the language and score of each row, in one pass without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = to_arrow_type(docs.schema[id_col].dataType)
-    held: list[Parser] = []
+    kept = [f for f in docs.schema.fields if not (drop_text and f.name == text_col)]
+    schema = StructType(kept).add(lang_name, StringType()).add(score_name, DoubleType())
+    arrow, place = to_arrow_schema(schema), [f.name for f in docs.schema.fields].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Parser(shared.value))
-        model = held[0].model
+        model = shared.value
         names = [*model.languages, "und"]
-        for batch in slices(batches, "text"):
-            totals = held[0].totals(*buffers(batch.column(1)))
-            known = (totals[:, 0] > 0) & (len(model.languages) > 0)
-            best, score = np.full(len(totals), len(names) - 1), np.zeros(len(totals))
-            if known.any():
-                bits = totals[known, 1:] * model.bits / totals[known, :1]
+        for batch in slices(batches, text_col):
+            column = batch.column(place)
+            best, score = np.full(len(column), len(names) - 1), np.zeros(len(column))
+            known = lettered(column)
+            if model.languages and known.any():
+                totals = model.totals(column)[known]
+                bits = totals[:, 1:] * model.bits / totals[:, :1]
                 best[known] = bits.argmin(1)
                 score[known] = 1 / np.exp(-sharpness * (bits - bits.min(1, keepdims=True))).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            columns = [c for i, c in enumerate(batch.columns) if not (drop_text and i == place)]
+            columns += [pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
