@@ -3,12 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns the rows that stay, with the columns of documents; the last one returns
 the pieces of the packed sequences. Between stages the rows are written and read
-again. Rows are told apart by the hash of doc_id and text, so a null or repeated
-doc_id does no harm; of rows that repeat both, exact dedup keeps one. What a stage
-rejects is removed by an anti-join. Copies are a share of the input, so their keys
-are never broadcast; of texts without a language or with a benchmark item there may
-be few, and Spark broadcasts their keys, written before, only below the session's
-size limit.
+again.
+
+Defined results: rows are told apart by their place in their file, so null and
+repeated doc_ids do no harm; of rows that repeat doc_id and text one stays; null
+and empty texts and those without a letter go at the first stage; a very long text
+is a text like any other; ties go to the rows that the stages name; columns that
+documents does not have are kept up to the last stage, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,67 +23,30 @@ from quadrille.llm.queries import pack_query, table, tokenizer
 from quadrille.llm.workspace import Workspace, free_name
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    key = free_name(docs, "row_key")
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
-
-
-def _without(spark: SparkSession, docs: DataFrame, key: str, rejected: DataFrame, many: bool = False) -> DataFrame:
-    """The documents whose key is not among the rejected ones; many: a share of all, joined by sorting whatever the size."""
-    gone = Workspace(spark, "rejected").table(rejected.distinct(), "keys")
-    gone = gone.hint("merge") if many else gone
-    return docs.join(gone, key, "left_anti").drop(key)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (no letter, or no text) go."""
+    """Documents without a letter (or without text) go; a row without a lang gets the language that is found, if any was learned."""
+    lang, score = free_name(docs, "lang_found"), free_name(docs, "lang_score")
     model = language_id.learn(docs)
-    if not model.languages:  # no row is labelled, so every text would be without a language
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    keyed, key = _keyed(docs)
-    found = language_id.identify(keyed, model, id_col=key)
-    # a text with a letter has a score above 0, even where a label of the input is "und"
-    return _without(spark, keyed, key, found.where("lang_pred = 'und' and score = 0").select(F.col("doc_id").alias(key)))
+    found = language_id.with_language(docs, model, lang, score)
+    # a text with a letter has a score above 0; without a model none has
+    stay = found.where(F.col(score) > 0) if model.languages else found.where(F.col("text").rlike(r"\p{L}"))
+    named = F.coalesce(F.col("lang"), F.col(lang) if model.languages else F.lit(None)).alias("lang")
+    return stay.select(*[named if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; of several with that doc_id, the one whose columns are smallest."""
-    key = free_name(docs, "row_key")
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    keyed = docs.withColumn(key, F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), digest.alias("digest")))
-    found = exact_dedup.exact_dedup(docs).where("not kept")
-    gone = found.select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "digest").alias(key))
-    gone = Workspace(spark, "rejected").table(gone.distinct(), "keys").hint("merge")
-    # rows that repeat both all count as kept, so one of each key is taken; this shuffles the texts again
-    one = keyed.join(gone, key, "left_anti").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return one.select("row.*")
+    """Of equal texts the row with the largest doc_id stays, of several with that doc_id one."""
+    return exact_dedup.without_copies(docs, Workspace(spark, "exact-copies"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that similarity links connect the one with the smallest doc_id stays; of several with that doc_id, the one with the smallest key."""
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        key = free_name(docs, "row_key")
-        keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        found = ngram_join.similar_documents(docs)
-        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key))
-        return _without(spark, keyed, key, gone, many=True)
-    # a doc_id that repeats names no row; hashes do, but they pack worse, so they are used only here
-    keyed, key = _keyed(docs)
-    work = Workspace(spark, "near-copies")
-    found = ngram_join.similar_documents(keyed, id_col=key).select(F.col("doc_id").alias("k"), F.col("component_id").alias("c"))
-    linked = work.table(found.where("k != c").distinct(), "linked")
-    # linked lists a component's rows except the one that gives it its name
-    members = linked.unionByName(linked.select(F.col("c").alias("k"), "c").distinct()).hint("merge")
-    named = work.table(members.join(keyed.select(F.col(key).alias("k"), "doc_id"), "k").select("k", "c", "doc_id").distinct(), "members")
-    first = named.groupBy("c").agg(F.min(F.struct("doc_id", "k")).alias("first")).select(F.col("first.k").alias("k")).hint("merge")
-    return _without(spark, keyed, key, named.join(first, "k", "left_anti").select(F.col("k").alias(key)), many=True)
+    """Of the rows that similarity links connect the one with the smallest doc_id stays (null is smaller than any), of several with that doc_id one."""
+    return ngram_join.without_near_copies(docs, Workspace(spark, "near-copies"))
 
 
 def benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    keyed, key = _keyed(docs)
-    found = decontamination.find_contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
-    return _without(spark, keyed, key, found.where(F.size("hit_starts") > 0).select(F.col("doc_id").alias(key)))
+    return decontamination.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
