@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 
 from quadrille.llm.kernel import buffers, byte_class, slices
 
-SAMPLE_ROWS = 100
+SAMPLE_ROWS = 50
 #: Symbols that are parsed in one go.
 STRETCH = 512
 #: Bits of cross-entropy a symbol that change the odds by a factor of e**8.
@@ -111,12 +111,12 @@ class SuffixAutomaton:
         return new
 
     def _freeze(self, edges: list[dict[int, int]]) -> None:
-        """`single`: target * 256 + symbol of a state with one successor; `row`, `dense`: the successors of the others."""
+        """`symbol`, `target`: the successor of a state with one; `row`, `dense`: the successors of the others."""
         known = sorted({s for e in edges for s in e})
-        self.column = np.zeros(256, np.int64)  # column 0: a symbol that never comes
+        self.column = np.zeros(256, np.int32)  # column 0: a symbol that never comes
         self.column[known] = np.arange(1, len(known) + 1)
         several = [i for i, e in enumerate(edges) if len(e) > 1 or not i]
-        self.single, self.row = np.zeros(len(edges), np.int64), np.zeros(len(edges), np.int64)  # no symbol is 0
+        self.symbol, self.target, self.row = (np.zeros(len(edges), x) for x in (np.uint8, np.int32, np.int32))  # no symbol is 0
         self.row[several] = np.arange(1, len(several) + 1)  # row 0: no successor
         self.dense = np.full((len(several) + 1, len(known) + 1), -1, np.int32)
         for k, i in enumerate(several, 1):
@@ -124,15 +124,15 @@ class SuffixAutomaton:
         for i, e in enumerate(edges):
             if len(e) == 1 and i:
                 ((s, to),) = e.items()
-                self.single[i] = to << 8 | s
+                self.symbol[i], self.target[i] = s, to
 
     def nbytes(self) -> int:
-        return self.single.nbytes + self.row.nbytes + self.dense.nbytes
+        return sum(x.nbytes for x in (self.symbol, self.target, self.row, self.dense))
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each lane; lanes: symbols by position and lane, lanes in descending order of length."""
         n = len(lengths)
-        state, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        state, count = np.zeros(n, np.int32), np.zeros(n, np.int64)
         width = self.dense.shape[1]
         flat, root = self.dense.ravel(), self.dense[1]
         live = np.searchsorted(-lengths, -np.arange(1, lanes.shape[0] + 1), "right")  # lanes that reach each position
@@ -140,8 +140,7 @@ class SuffixAutomaton:
             m = int(live[j])
             at, symbol = state[:m], lanes[j, :m]
             column = self.column[symbol]
-            one = self.single[at]
-            to = np.where((one & 0xFF) == symbol, one >> 8, flat[self.row[at] * width + column])
+            to = np.where(self.symbol[at] == symbol, self.target[at], flat[self.row[at].astype(np.int64) * width + column])
             fail = np.flatnonzero(to < 0)
             if len(fail):
                 again = root[column[fail]]
@@ -199,7 +198,8 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "do
         return Model({})
     every = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, n // sample_rows))])
     sample = rows.where(F.pmod(F.xxhash64("id"), F.element_at(every, F.col("lang"))) == 0)
-    built = sample.select("lang", "text").groupBy("lang").applyInArrow(_build, "lang string, automaton binary")
+    # a task for each language: building takes a second or more
+    built = sample.select("lang", "text").repartition(len(counts), "lang").groupBy("lang").applyInArrow(_build, "lang string, automaton binary")
     found = {r[0]: pickle.loads(r[1]) for r in built.collect()}  # one automaton a language, of the sample's size
     return Model({k: v for k, v in found.items() if v.size})
 

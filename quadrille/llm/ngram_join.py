@@ -14,8 +14,8 @@ very many documents hold never makes a list of its own.
 Nodes that lists connect are compared in chunks. Where that is one chunk, all its
 pairs are verified at once. Where it is more, nodes of one list are put together
 as far as chunks reach, and what turns out to be linked is represented by one
-leader; leaders that still share a list are compared in the same way until that
-finds no more links, so a large group of near copies takes a number of comparisons
+leader; leaders that still share a list are compared in the same way for some
+rounds, so a large group of near copies takes a number of comparisons
 in proportion to its members. Lists that then still have members of several
 components are compared chunk by chunk. A comparison counts the common shingles
 of all its pairs with matrix products, returns a spanning forest of the links and
@@ -53,6 +53,8 @@ CHUNK = 256
 BUCKET_ENTRIES = 1_000_000
 #: A shingle is frequent if so many sets hold it.
 FREQUENT = 64
+#: Rounds of comparisons of leaders; what they leave open is compared chunk by chunk.
+ROUNDS = 4
 #: Shingles of one matrix product.
 COLUMNS = 8192
 #: Shingles that a task gathers before it sends them.
@@ -291,7 +293,7 @@ _Set = tuple[int, np.ndarray, np.ndarray]
 
 
 def links_between(left: list[_Set], right: list[_Set] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among `left`, or between left and right; a set: node, sorted hashes, second hashes."""
+    """What links among `left`, or between left and right, connect: each node with the smallest of its component; a set: node, sorted hashes, second hashes."""
     docs = left + (right or [])
     size = np.array([len(s) for _, s, _ in docs], np.int64)
     token = np.concatenate([s for _, s, _ in docs])
@@ -329,13 +331,15 @@ def links_between(left: list[_Set], right: list[_Set] | None, percent: int = PER
         both = int((docs[x][2][i] == docs[y][2][j]).sum())
         return 100 * both >= percent * (int(size[x]) + int(size[y]) - both)
 
-    out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         p, q = find(x), find(y)
         if p != q and alike(x, y):
             parent[p] = q
-            out.append((docs[x][0], docs[y][0]))
-    return out
+    least: dict[int, int] = {}
+    for i, (node, _, _) in enumerate(docs):
+        root = find(i)
+        least[root] = min(node, least.get(root, node))
+    return [(node, least[find(i)]) for i, (node, _, _) in enumerate(docs) if node != least[find(i)]]
 
 
 def _verify(width: int, percent: int):
@@ -350,7 +354,7 @@ def _verify(width: int, percent: int):
             sides[0].clear(), sides[1].clear()
 
         def batch_of_links() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["node", "least"])
             found.clear()
             return out
 
@@ -376,83 +380,94 @@ def _merge(df: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """The comparisons of one run: lists (sig, node) and the texts (node, text) of their members."""
+    """The comparisons of one run: lists (sig, node) and the texts (node, text) of their members; `label`: (node, leader) of the nodes that have one."""
 
     def __init__(self, work: Workspace, lists: DataFrame, texts: DataFrame, width: int, percent: int, chunk: int):
         self.work, self.lists, self.texts, self.width, self.percent, self.chunk = work, lists, texts, width, percent, chunk
-        self.links: list[DataFrame] = []
         self.turn = 0
 
-    def name(self, what: str) -> str:
-        return f"{what}-{self.turn}"
+    def table(self, df: DataFrame, what: str) -> DataFrame:
+        return self.work.table(df, f"{what}-{self.turn}")
 
     def several(self, lists: DataFrame) -> DataFrame:
-        """The lists with at least two members, with their sizes and smallest members."""
-        count = lists.groupBy("sig").agg(F.count("*").alias("df"), F.min("node").alias("least")).where("df > 1")
-        return self.work.table(lists.join(_merge(count), "sig"), self.name("lists"))
+        """The lists with at least two members, of those with equal members one, with their sizes and smallest members."""
+        one, two = F.shiftrightunsigned(F.xxhash64("node"), 24), F.bit_xor(F.xxhash64("node", F.lit(1)))
+        stats = lists.groupBy("sig").agg(F.count("*").alias("df"), F.min("node").alias("least"), F.sum(one).alias("one"), two.alias("two")).where("df > 1")
+        kept = stats.groupBy("df", "least", "one", "two").agg(F.min("sig").alias("sig")).select("sig", "df", "least")
+        return self.table(lists.join(_merge(kept), "sig"), "lists")
 
     def deal(self, lists: DataFrame) -> DataFrame:
         """(node, chunk, size): what lists connect is one chunk, or where that is much, members of one list stay together."""
-        joined = components(self.work, lists.select(F.col("node").alias("a"), F.col("least").alias("b")), self.name("met"))
+        joined = components(self.work, lists.select(F.col("node").alias("a"), F.col("least").alias("b")), "met")
         main = lists.groupBy("node").agg(F.max(F.struct("df", "sig")).alias("m"))
         joined = joined.select("node", F.col("component").alias("met"))
         whole = main.join(_merge(joined), "node", "left").select("node", "m", F.coalesce("met", "node").alias("met"))
         sizes = whole.groupBy("met").agg(F.count("*").alias("size"))
         # large lists are cut by member, lists and pieces are dealt over the chunks
-        piece = F.xxhash64("m.sig", F.pmod(F.xxhash64("node"), F.ceil(F.col("m.df") / self.chunk)))
-        place = F.xxhash64("met", F.pmod(piece, F.ceil(F.col("size") / self.chunk)))
-        return self.work.table(whole.join(_merge(sizes), "met").select("node", place.alias("chunk"), "size"), self.name("chunks"))
+        place = F.xxhash64("met", F.pmod(self.piece(), F.ceil(F.col("size") / self.chunk)))
+        return self.table(whole.join(_merge(sizes), "met").select("node", place.alias("chunk"), "size"), "chunks")
 
-    def compare(self, sides: DataFrame) -> bool:
-        """Verify (c1, c2, side, chunk, node); were links found?"""
+    def piece(self):
+        return F.xxhash64("m.sig", F.pmod(F.xxhash64("node"), F.ceil(F.col("m.df") / self.chunk)))
+
+    def compare(self, sides: DataFrame) -> DataFrame:
+        """What the comparisons (c1, c2, side, node) connect: (node, least)."""
         rows = sides.join(_merge(self.texts), "node").select("c1", "c2", "side", "node", "text")
         ordered = rows.repartition(tasks_for(rows, 0), "c1", "c2").sortWithinPartitions("c1", "c2")
-        found = self.work.table(ordered.mapInArrow(_verify(self.width, self.percent), "a long, b long"), self.name("links"))
-        self.links.append(found)
-        return not found.isEmpty()
+        return self.table(ordered.mapInArrow(_verify(self.width, self.percent), "node long, least long"), "links")
 
-    def inside(self, chunks: DataFrame) -> bool:
-        """All pairs of each chunk."""
+    def inside(self, chunks: DataFrame) -> DataFrame:
+        """All pairs of each chunk (node, chunk)."""
         more = chunks.groupBy("chunk").agg(F.count("*").alias("members")).where("members > 1")
         return self.compare(chunks.join(_merge(more), "chunk").select(F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), F.lit(0).alias("side"), "node"))
 
-    def leaders(self) -> DataFrame:
-        """(node, leader) of the nodes that have been linked."""
-        links = self.links[0]
-        for more in self.links[1:]:
-            links = links.unionByName(more)
-        return components(self.work, links, self.name("led")).select("node", F.col("component").alias("leader"))
+    def led(self, label: DataFrame, moved: DataFrame) -> DataFrame:
+        """The label after leaders have got leaders (node, least) of their own."""
+        new = moved.select(F.col("node").alias("leader"), F.col("least").alias("new"))
+        old = label.join(_merge(new), "leader", "left").select("node", F.coalesce("new", "leader").alias("leader"))
+        return self.table(old.unionByName(moved.select("node", F.col("least").alias("leader"))), "label")
 
     def run(self) -> DataFrame:
-        """(node, leader) when every pair that shares a list is linked, compared or known to be connected."""
+        """The label when every pair that shares a list is linked, compared or known to be connected."""
         lists = self.several(self.lists)
         first = self.deal(lists)
-        self.inside(first)
+        # a node is in one chunk, so what its comparison connects is a star
+        label = self.inside(first).select("node", F.col("least").alias("leader"))
         # what fitted into one chunk is settled
-        large = self.work.table(first.where(F.col("size") > self.chunk).select("node", "chunk"), "large")
+        large = self.table(first.where(F.col("size") > self.chunk).select("node", "chunk"), "large")
         if large.isEmpty():
-            return self.leaders()
+            return label
         lists = lists.join(_merge(large), "node").select("sig", "node", "chunk")
-        while True:
-            self.turn += 1
-            led = lists.join(_merge(self.leaders()), "node", "left").select("sig", "node", "chunk", F.coalesce("leader", "node").alias("leader"))
-            led = self.work.table(led, self.name("led-lists"))
-            members = self.several(led.select("sig", F.col("leader").alias("node")).distinct())
-            lists = led.join(_merge(members.select("sig").distinct()), "sig", "left_semi")
+        named = lists.join(_merge(label), "node", "left").select("sig", "node", "chunk", F.coalesce("leader", "node").alias("leader"))
+        named = self.table(named, "named")
+        led = named.select("sig", F.col("leader").alias("node")).distinct()
+        for self.turn in range(1, ROUNDS + 1):
+            members = self.several(led)
             if members.isEmpty():
-                return self.leaders()
-            if not self.inside(self.deal(members)):
+                return label
+            main = members.groupBy("node").agg(F.max(F.struct("df", "sig")).alias("m"))
+            moved = self.inside(main.select("node", self.piece().alias("chunk")))
+            if moved.isEmpty():
                 break
-            lists = lists.select("sig", "node", "chunk")
+            label = self.led(label, moved)
+            led = members.join(_merge(moved.withColumnRenamed("least", "to")), "node", "left").select("sig", F.coalesce("to", "node").alias("node")).distinct()
+        now = label.select(F.col("node").alias("leader"), F.col("leader").alias("now"))
+        lists = named.join(_merge(now), "leader", "left").select("sig", "node", "chunk", F.coalesce("now", "leader").alias("leader"))
+        several = lists.groupBy("sig").agg(F.min("leader").alias("x"), F.max("leader").alias("y")).where("x < y").select("sig")
+        lists = self.table(lists.join(_merge(several), "sig"), "open")
         # members of several components are left in these lists
-        left = self.work.table(lists, "unsettled")
-        met = left.select("sig", "chunk", "leader").distinct()
+        self.turn += 1
+        met = lists.select("sig", "chunk", "leader").distinct()
         one, two = (met.select("sig", F.col("chunk").alias(c), F.col("leader").alias(x)) for c, x in (("c1", "l1"), ("c2", "l2")))
         pairs = one.join(_merge(two), "sig").where("c1 < c2 and l1 != l2").select("c1", "c2").distinct()
         sides = pairs.select("c1", "c2", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("chunk", F.when(F.col("side") == 0, F.col("c1")).otherwise(F.col("c2")))
-        self.turn += 1
-        self.compare(sides.join(_merge(left.select("node", "chunk").distinct()), "chunk").select("c1", "c2", "side", "node"))
-        return self.leaders()
+        found = self.compare(sides.join(_merge(lists.select("node", "chunk").distinct()), "chunk").select("c1", "c2", "side", "node"))
+        # a link of two nodes is one of their leaders
+        leader = _merge(label)
+        ends = found.join(leader, "node", "left").select(F.coalesce("leader", "node").alias("a"), F.col("least").alias("node"))
+        ends = ends.join(leader, "node", "left").select("a", F.coalesce("leader", "node").alias("b"))
+        joined = components(self.work, ends, "led")
+        return self.led(label, joined.select("node", F.col("component").alias("least")))
 
 
 def connected(docs: DataFrame, work: Workspace, width: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, bucket_entries: int = BUCKET_ENTRIES, frequent: int = FREQUENT, coarse: int = COARSE, row_col: str = "row", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
