@@ -9,6 +9,7 @@ a Python worker whatever the size of the input.
 from __future__ import annotations
 
 from collections.abc import Iterator
+import ctypes
 from hashlib import blake2b
 
 import numpy as np
@@ -18,6 +19,9 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
+#: Arrays that Arrow frees go back to the machine at once.
+pa.set_memory_pool(pa.system_memory_pool())
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Longer spans are hashed by BLAKE2b, one call each.
 LONG_SPAN = 2048
 _rng = np.random.default_rng(20240229)
@@ -96,6 +100,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    if _trim:  # freed memory goes back to the machine: workers live on between tasks
+        _trim(0)
 
 
 def spans(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

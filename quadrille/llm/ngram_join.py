@@ -450,6 +450,8 @@ class _Join:
             if moved.isEmpty():
                 break
             label = self.led(label, moved)
+            if moved.count() < 0.1 * main.count():  # most leaders are what they will be
+                break
             led = members.join(_merge(moved.withColumnRenamed("least", "to")), "node", "left").select("sig", F.coalesce("to", "node").alias("node")).distinct()
         now = label.select(F.col("node").alias("leader"), F.col("leader").alias("now"))
         lists = named.join(_merge(now), "leader", "left").select("sig", "node", "chunk", F.coalesce("now", "leader").alias("leader"))

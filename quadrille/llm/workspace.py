@@ -18,7 +18,9 @@ from pyspark.sql.types import IntegralType
 import xxhash
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a step runs: its shuffle files go when it is over, not when the driver's garbage is collected, and what goes
+# to Python at once is small.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,13 +59,14 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write the rows once as Parquet and read them from there: lineage ends here."""
         schema, conf = df.schema, self.spark.conf
-        # the files of this step's shuffles go when it is over, not when the driver's garbage is collected
-        before = conf.get(_CLEANUP, "false")
-        conf.set(_CLEANUP, "true")
+        before = {k: conf.get(k) for k in _STEP}
+        for k, v in _STEP.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         finally:
-            conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm import exact_dedup, ngram_join, packed, run_index, substring_dedup, suffix_dedup
+from quadrille.llm.components import components
 from quadrille.llm.workspace import Workspace, with_row_key
 from tests.llm import corpus
 
@@ -138,6 +139,19 @@ def test_rows_without_an_id_are_rows_of_their_own(spark):
     assert got == [("5", 1, "5"), ("5", 57, "5"), ("None", 2, "None"), ("None", 56, "5")]
 
 
+@pytest.mark.parametrize("one_task", [0, 10, 1000])
+def test_components(spark, one_task):
+    rng = np.random.default_rng(3)
+    links = [tuple(map(int, rng.integers(0, 120, 2))) for _ in range(70)] + [(i, i + 1) for i in range(200, 240)]
+    least = {x: x for p in links for x in p}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    got = {r["node"]: r["component"] for r in components(Workspace(spark, "test"), df, one_task=one_task).collect()}
+    assert got == {a: b for a, b in least.items() if a != b}
+
+
 def test_empty_tables(spark):
     empty = corpus.frame(spark, [])
     for df in (exact_dedup.exact_dedup(empty), ngram_join.similar_documents(empty), substring_dedup.remove_repeats(empty), suffix_dedup.remove_repeats(empty)):
