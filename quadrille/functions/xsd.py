@@ -7,22 +7,66 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.naming import XSD
 
-# The SQL names of each XSD type, and its name in each dialect.
-SQL_NAMES = {
-    "string": "VARCHAR|CHARACTER VARYING|CHAR|CHARACTER|TEXT|NVARCHAR|NCHAR|STRING|CLOB|VARIANT|OBJECT|ARRAY|UUID|JSON|JSONB|XML|INET|CIDR|MACADDR",
-    "integer": "INTEGER|INT|INT4|SERIAL",
-    "short": "INT2|SMALLINT|SMALLSERIAL",
-    "long": "BIGINT|INT8|OID|BIGSERIAL",
-    "byte": "TINYINT|BYTEINT",
-    "decimal": "DECIMAL|NUMERIC|NUMBER|MONEY",
-    "float": "FLOAT|FLOAT4|REAL",
-    "double": "FLOAT8|DOUBLE PRECISION|DOUBLE",
-    "boolean": "BOOLEAN|BOOL",
-    "date": "DATE",
-    "time": "TIME|TIMETZ|TIME WITH TIME ZONE",
-    "dateTime": "TIMESTAMP|TIMESTAMP_NTZ|TIMESTAMP_LTZ|TIMESTAMP WITHOUT TIME ZONE",
-    "dateTimeStamp": "TIMESTAMP_TZ|TIMESTAMPTZ|TIMESTAMP WITH TIME ZONE",
-    "base64Binary": "BINARY|VARBINARY|BYTEA",
+# The XSD type of each SQL name, and its name in each dialect.
+XSD_TYPES = {
+    "VARCHAR": "string",
+    "CHARACTER VARYING": "string",
+    "CHAR": "string",
+    "CHARACTER": "string",
+    "TEXT": "string",
+    "NVARCHAR": "string",
+    "NCHAR": "string",
+    "STRING": "string",
+    "CLOB": "string",
+    "VARIANT": "string",
+    "OBJECT": "string",
+    "ARRAY": "string",
+    "UUID": "string",
+    "JSON": "string",
+    "JSONB": "string",
+    "XML": "string",
+    "INET": "string",
+    "CIDR": "string",
+    "MACADDR": "string",
+    "INTEGER": "integer",
+    "INT": "integer",
+    "INT4": "integer",
+    "SERIAL": "integer",
+    "INT2": "short",
+    "SMALLINT": "short",
+    "SMALLSERIAL": "short",
+    "BIGINT": "long",
+    "INT8": "long",
+    "OID": "long",
+    "BIGSERIAL": "long",
+    "TINYINT": "byte",
+    "BYTEINT": "byte",
+    "DECIMAL": "decimal",
+    "NUMERIC": "decimal",
+    "NUMBER": "decimal",
+    "MONEY": "decimal",
+    "FLOAT": "float",
+    "FLOAT4": "float",
+    "REAL": "float",
+    "FLOAT8": "double",
+    "DOUBLE PRECISION": "double",
+    "DOUBLE": "double",
+    "BOOLEAN": "boolean",
+    "BOOL": "boolean",
+    "DATE": "date",
+    "TIME": "time",
+    "TIMETZ": "time",
+    "TIME WITH TIME ZONE": "time",
+    "TIMESTAMP": "dateTime",
+    "TIMESTAMP_NTZ": "dateTime",
+    "TIMESTAMP_LTZ": "dateTime",
+    "TIMESTAMP WITHOUT TIME ZONE": "dateTime",
+    "TIMESTAMP_TZ": "dateTimeStamp",
+    "TIMESTAMPTZ": "dateTimeStamp",
+    "TIMESTAMP WITH TIME ZONE": "dateTimeStamp",
+    "BINARY": "base64Binary",
+    "VARBINARY": "base64Binary",
+    "BYTEA": "base64Binary",
 }
 DIALECTS = ("ANSI", "SNOWFLAKE", "POSTGRESQL")
 DIALECT_NAMES = {  # ANSI, SNOWFLAKE, POSTGRESQL
@@ -48,8 +92,6 @@ STRING_PREFIXES = ("VARCHAR", "CHAR", "NVARCHAR", "TEXT", "STRING")
 DDL_STRING_PREFIXES = ("VARCHAR", "CHAR", "NVARCHAR", "STRING")
 RULES = {0: "CASCADE", 1: "RESTRICT", 2: "SET_NULL", 3: "NO_ACTION", 4: "SET_DEFAULT"}
 
-_TO_XSD = {name: x for x, names in SQL_NAMES.items() for name in names.split("|")}
-
 
 def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
@@ -61,7 +103,7 @@ def _bare(c: Column) -> Column:
 
 def to_xsd(sql_type: Column) -> Column:
     """The XSD IRI of a SQL type name; unknown, null and blank names are strings."""
-    found = F.try_element_at(_map(_TO_XSD), F.coalesce(_bare(sql_type), F.lit("")))
+    found = F.try_element_at(_map(XSD_TYPES), F.coalesce(_bare(sql_type), F.lit("")))
     return F.concat(F.lit(XSD), F.coalesce(found, F.lit("string")))
 
 

@@ -14,6 +14,7 @@ from quadrille.functions.xsd import DIALECTS, NUMERIC, TEMPORAL, short_xsd
 from quadrille.operators.shapes import ShapeTable
 
 Op = Enum("Op", "EQ NEQ GT GTE LT LTE LIKE NOT_LIKE ILIKE IN NOT_IN BETWEEN NOT_BETWEEN IS_NULL IS_NOT_NULL")
+LOGICAL, DIRECTIONS = ("AND", "OR"), ("ASC", "DESC")
 UNARY, LISTS, RANGES = {Op.IS_NULL, Op.IS_NOT_NULL}, {Op.IN, Op.NOT_IN}, {Op.BETWEEN, Op.NOT_BETWEEN}
 LIKES, ORDERED = {Op.LIKE, Op.NOT_LIKE, Op.ILIKE}, {Op.GT, Op.GTE, Op.LT, Op.LTE, Op.BETWEEN, Op.NOT_BETWEEN}
 
@@ -66,17 +67,36 @@ class Request:
     def parse(raw: dict) -> Request:
         """From the JSON form: tableName, dialect, selectColumns, filterGroup, orderBy, limit, offset."""
 
+        errors: list[str] = []
+
+        def one_of(value: str | None, known: tuple[str, ...], what: str) -> str:
+            """The value, or the first known one where there is none; names are exact, as is their case."""
+            if value is not None and value not in known:
+                errors.append(f"unknown {what} '{value}', expected one of {', '.join(known)}")
+            return known[0] if value is None else value
+
+        def criterion(c: dict) -> Criterion | None:
+            bad = [f"a filter criterion needs '{k}'" for k in ("column", "operator") if not c.get(k)]
+            if not bad and c["operator"] not in Op.__members__:
+                bad = [f"unknown operator '{c['operator']}' on column '{c['column']}'"]
+            errors.extend(bad)
+            return None if bad else Criterion(c["column"], Op[c["operator"]], c.get("value"), c.get("valueTo"), list(c.get("values") or []))
+
         def group(g: dict) -> Group:
-            criteria = [Criterion(c["column"], Op[c["operator"]], c.get("value"), c.get("valueTo"), list(c.get("values") or [])) for c in g.get("criteria") or []]
-            return Group(g.get("operator", "AND"), criteria, [group(x) for x in g.get("groups") or []])
+            criteria = [x for c in g.get("criteria") or [] if (x := criterion(c)) is not None]
+            return Group(one_of(g.get("operator"), LOGICAL, "logical operator"), criteria, [group(x) for x in g.get("groups") or []])
 
+        if not raw.get("tableName"):
+            errors.append("tableName is required")
         if raw.get("limit") is not None and raw["limit"] <= 0:
-            raise FilterError(["limit must be positive"])
-        dialect = raw.get("dialect") or "ANSI"
-        if dialect not in DIALECTS:
-            raise FilterError([f"unknown dialect {dialect}"])
-        tree = raw.get("filterGroup")
-        return Request(raw["tableName"], dialect, list(raw.get("selectColumns") or []), group(tree) if tree else None, [(o["column"], o.get("direction", "ASC")) for o in raw.get("orderBy") or []], raw.get("limit"), raw.get("offset"))
+            errors.append("limit must be positive")
+        dialect, tree = one_of(raw.get("dialect"), DIALECTS, "dialect"), raw.get("filterGroup")
+        where = group(tree) if tree else None
+        order = [(o.get("column"), one_of(o.get("direction"), DIRECTIONS, "direction")) for o in raw.get("orderBy") or []]
+        errors += ["an ORDER BY entry needs 'column'" for c, _ in order if not c]
+        if errors:
+            raise FilterError(errors)
+        return Request(raw["tableName"], dialect, list(raw.get("selectColumns") or []), where, order, raw.get("limit"), raw.get("offset"))
 
 
 def resolve(name: str, tables: list[ShapeTable]) -> ShapeTable:
@@ -93,7 +113,11 @@ def _blank(x: str | None) -> bool:
 
 def validate(request: Request, shape: ShapeTable) -> None:
     """Raise with every error: projection, then criteria (value, type, nullability), then ordering."""
-    errors = [f"SELECT column '{c}' does not exist in shape for table '{shape.name}'" for c in request.select if shape.column(c) is None]
+    groups = [request.where] if request.where else []
+    for g in groups:
+        groups.extend(g.groups)
+    errors = [f"unknown logical operator '{g.operator}'" for g in groups if g.operator not in LOGICAL] + [f"unknown direction '{d}'" for _, d in request.order_by if d not in DIRECTIONS]
+    errors += [f"SELECT column '{c}' does not exist in shape for table '{shape.name}'" for c in request.select if shape.column(c) is None]
     for c in request.where.walk() if request.where else ():
         col = shape.column(c.column)
         if col is None:

@@ -162,15 +162,18 @@ class VersionStore(Registry):
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
         return number
 
+    def _at(self, database: str, schema: str, rest: str) -> Column:
+        """The name under which version_quads writes; it folds to a literal, so the graph is read by partition pruning."""
+        return N.version_iri(F.lit(database), F.lit(schema), rest, self.base)
+
     def registry_graph(self, database: str, schema: str) -> DataFrame:
         """The registry graph with isCurrent true for the last version alone; the flag follows from the numbers."""
-        name = f"{self.base}version/{database}/{schema}/registry"
-        flags = self.versions().where((F.col("database_name") == database) & (F.col("schema_name") == schema)).select(F.concat(F.lit(f"{self.base}version/{database}/{schema}/version_"), "version").alias("s"), F.col("is_current").cast("string").alias("flag"))
-        found = self.graph(name).join(flags, "s", "left")
+        flags = self.versions().where((F.col("database_name") == database) & (F.col("schema_name") == schema)).select(F.concat(self._at(database, schema, "version_"), F.col("version").cast("string")).alias("s"), F.col("is_current").cast("string").alias("flag"))
+        found = self._read("quads", QUADS).where(F.col("graph") == self._at(database, schema, "registry")).join(flags, "s", "left")
         return found.withColumn("o", F.when(F.col("p") == DR + "isCurrent", F.col("flag")).otherwise(F.col("o"))).drop("flag")
 
     def snapshot_graph(self, database: str, schema: str, version: int) -> DataFrame:
-        return self.graph(f"{self.base}version/{database}/{schema}/v{version}")
+        return self._read("quads", QUADS).where(F.col("graph") == self._at(database, schema, f"v{version}"))
 
     def changes_graph(self, database: str, schema: str, version: int) -> DataFrame:
-        return self.graph(f"{self.base}version/{database}/{schema}/v{version}/changes")
+        return self._read("quads", QUADS).where(F.col("graph") == self._at(database, schema, f"v{version}/changes"))

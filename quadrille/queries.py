@@ -148,7 +148,9 @@ def _filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = {"double": float, "decimal": float, "long": int, "integer": int, "dateTime": datetime.fromisoformat}
     kinds = {c.name: (c.xsd_datatype or naming.XSD + "long").removeprefix(naming.XSD) for c in shape.columns}
     values = {name: read.get(kinds[c.column.upper()], str)(v) for c in request.where.walk() for name, v in zip(sqltext.param_names(c), c.values or [c.value, c.value_to], strict=False)}
-    return spark.sql(text.sql.rstrip(";"), args=values).toDF("o_orderkey", "o_totalprice")
+    out = spark.sql(text.sql.rstrip(";"), args=values).toDF("o_orderkey", "o_totalprice")
+    spark.catalog.dropTempView(shape.name)  # the plan is resolved and needs it no more
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,6 +276,6 @@ ORACLE_SQL: dict[str, str] = {
     "version_graph_counts": f"SELECT '{_BASE}version/{_DB}/' || k AS graph, n::BIGINT AS triples FROM (VALUES ('registry', 4 + 3 + 10), ('v3', 3 * 3 + 12 * 8 + 6), ('v3/changes', 3 * 6 + 2 + 2)) t(k, n)",
     "ontology_type_counts": f"SELECT '{naming.OWL}' || k AS type, n::BIGINT AS subjects FROM (VALUES ('Ontology', 1), ('AnnotationProperty', 1), ('Class', 3), ('DatatypeProperty', 11), ('Restriction', 18), ('ObjectProperty', 1)) t(k, n)",
     "ntriples_lines": "SELECT TRUE AS whole, (6 + 5 + 2 * 2)::BIGINT AS lines",
-    "fk_orphans": "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o_orderkey % 7 <> 0)",
+    "fk_orphans": "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)",
     "unique_violations": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
 }

@@ -320,3 +320,23 @@ def test_queries_agree_with_their_sql(spark, name):
 def test_entry_works_without_the_corpus_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'filter_eq' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_values_outside_the_enums_are_errors_of_the_request():
+    tree = {"operator": "and", "criteria": [{"column": "STATUS", "operator": "SOUNDS_LIKE", "value": "A"}, {"operator": "EQ"}], "groups": [{"operator": "XOR"}]}
+    with pytest.raises(filters.FilterError) as e:
+        request(filterGroup=tree, orderBy=[{"column": "STATUS", "direction": "desc"}, {}], limit=0, dialect="ORACLE")
+    for part in ("'and'", "'XOR'", "'SOUNDS_LIKE'", "'column'", "'desc'", "ORDER BY", "limit", "'ORACLE'"):
+        assert any(part in x for x in e.value.errors), part
+    assert request(filterGroup={"operator": None, "criteria": []}, orderBy=[{"column": "STATUS", "direction": None}]).order_by == [("STATUS", "ASC")]
+
+
+@pytest.mark.parametrize("name", ["MY_DB", "My DB", "my.db-1"])
+def test_version_graphs_are_read_under_the_name_they_are_written_under(spark, tmp_path, name):
+    store = versions.VersionStore(spark, f"file://{tmp_path}/store")
+    frames = build(spark, {"snapshot_id": "s", "database_type": "POSTGRESQL", "database_name": name, "schema_name": "a b.c", "extracted_at": datetime(2026, 1, 1), "tables": [{"name": "T", "columns": [{"name": "ID", "type": "BIGINT"}]}]})
+    none = diff(frames, frames)
+    assert store.save(frames, none) == 1 and store.save(frames, none) == 2
+    assert store.snapshot_graph(name, "a b.c", 2).count() > 0
+    current = {r["s"][-1]: r["o"] for r in store.registry_graph(name, "a b.c").where(F.col("p").endswith("isCurrent")).collect()}
+    assert current == {"1": "false", "2": "true"}
