@@ -34,15 +34,19 @@ def _text(*parts: Column | str) -> Column:
 def vocabulary_quads(frames: SnapshotFrames, base: str = N.BASE) -> DataFrame:
     """Four classes, three links and twenty-four attributes, and the header of the ontology."""
     one, graph = frames.snapshots, F.lit(base + "vocabulary/datarepository")
-    parts = [emit(one, graph, graph, [F.lit(0), F.lit(0)], [type_of(OWL + "Ontology"), (RDFS + "label", lit("DataRepository Vocabulary")), (RDFS + "comment", lit("Classes and properties that describe harvested schemas.")), (OWL + "versionInfo", lit("1.0"))])]
+    header = emit(one, graph, graph, [F.lit(0), F.lit(0)], [type_of(OWL + "Ontology"), (RDFS + "label", lit("DataRepository Vocabulary")), (RDFS + "comment", lit("Classes and properties that describe harvested schemas.")), (OWL + "versionInfo", lit("1.0"))])
+    return union(header, _vocabulary(frames, graph))
+
+
+def _vocabulary(frames: SnapshotFrames, graph: Column) -> DataFrame:
+    """The names of the vocabulary in the given graph of each snapshot."""
     names = [(n, "Class", text, None, None) for n, text in CLASSES.items()]
     names += [(n, "ObjectProperty", f"From {a} to {b}.", DR + a, DR + b) for n, (a, b) in LINKS.items()]
     names += [(n, "DatatypeProperty", f"{n} of {a}.", DR + a, XSD + t) for a, held in ATTRIBUTES.items() for n, t in held.items()]
     rows = frames.snapshots.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(names)], "at int, name string, kind string, text string, domain string, range string")
-    rows = rows.crossJoin(F.broadcast(one.select("snapshot_id")))  # the vocabulary has 31 names
+    rows = rows.crossJoin(F.broadcast(frames.snapshots.select("snapshot_id", "database_name", "schema_name")))  # the vocabulary has 31 names
     c = F.col
-    parts.append(emit(rows, graph, F.concat(F.lit(DR), c("name")), [F.lit(1), c("at")], [(RDF + "type", iri(F.concat(F.lit(OWL), c("kind")))), (RDFS + "label", lit(c("name"))), (RDFS + "comment", lit(c("text"))), (RDFS + "domain", iri(c("domain"))), (RDFS + "range", iri(c("range")))]))
-    return union(*parts)
+    return emit(rows, graph, F.concat(F.lit(DR), c("name")), [F.lit(1), c("at")], [(RDF + "type", iri(F.concat(F.lit(OWL), c("kind")))), (RDFS + "label", lit(c("name"))), (RDFS + "comment", lit(c("text"))), (RDFS + "domain", iri(c("domain"))), (RDFS + "range", iri(c("range")))])
 
 
 def _column_items(c) -> list[tuple]:
@@ -66,31 +70,44 @@ def repository_quads(frames: SnapshotFrames, base: str = N.BASE) -> DataFrame:
     graph = F.concat(F.lit(base + "repo/"), _pair("/"))
     repo, schema = F.concat(F.lit(base + "repo/"), _pair("_")), F.concat(F.lit(base + "repo/"), _pair("_"), F.lit("_Schema"))
     header = emit(s, graph, graph, [F.lit(0)], [type_of(OWL + "Ontology"), (RDFS + "label", lit(_text("Repository Instance: ", c("database_name"), " / ", c("schema_name")))), (RDFS + "comment", lit(_text("Individuals of ", c("database_name"), " / ", c("schema_name")))), (OWL + "versionInfo", lit("1.0")), (OWL + "imports", iri(base + "vocabulary/datarepository"))])
+    table = F.concat(F.lit(base + "repo/table/"), N.pascal(c("table_name")))
+    column = F.concat(F.lit(base + "repo/column/"), N.pascal(c("table_name")), F.lit("_"), N.pascal(c("column_name")))
+    return as_set(union(header, _individuals(frames, graph, repo, schema, table, column)))
+
+
+def _individuals(frames: SnapshotFrames, graph: Column, repo: Column, schema: Column, table: Column, column: Column) -> DataFrame:
+    """Repository, schema, tables and columns under the given names."""
+    c, s = F.col, frames.snapshots
     repos = emit(s, graph, repo, [F.lit(1)], [type_of(DR + "DataRepository"), (RDFS + "label", lit(_text(c("database_name"), " / ", c("schema_name")))), *_connection(_STRINGS), (DR + "port", lit(c("port"), "int")), (DR + "extractedAt", lit(N.iso_instant(c("extracted_at")), "dateTime")), (DR + "hasSchema", iri(schema))])
     schemas = emit(s, graph, schema, [F.lit(2)], [type_of(DR + "DatabaseSchema"), (RDFS + "label", lit(c("schema_name"))), (DR + "schemaName", lit(c("schema_name")))])
     where = s.select("snapshot_id", "database_name", "schema_name")
     tables = frames.tables.join(where, "snapshot_id")
-    table = F.concat(F.lit(base + "repo/table/"), N.pascal(c("table_name")))
     t = emit(tables, graph, table, [F.lit(3), c("table_seq"), F.lit(0)], [type_of(DR + "DatabaseTable"), (RDFS + "label", lit(c("table_name"))), (DR + "tableName", lit(c("table_name"))), (DR + "tableType", lit(c("table_type")), N.is_set(c("table_type"))), (DR + "tableRemarks", lit(c("remarks")), N.is_set(c("remarks")))])
     has = emit(tables, graph, schema, [F.lit(3), c("table_seq"), F.lit(1)], [(DR + "hasTable", iri(table))])
     columns = with_keys(frames).join(where, "snapshot_id")
-    column = F.concat(F.lit(base + "repo/column/"), N.pascal(c("table_name")), F.lit("_"), N.pascal(c("column_name")))
     k = emit(columns, graph, column, [F.lit(3), c("table_seq"), F.lit(2), c("col_seq")], _column_items(c))
     held = emit(columns, graph, table, [F.lit(3), c("table_seq"), F.lit(2), c("col_seq"), F.lit(99)], [(DR + "hasColumn", iri(column))])
-    return as_set(union(header, repos, schemas, t, has, k, held))
+    return union(repos, schemas, t, has, k, held)
 
 
 def schema_quads(frames: SnapshotFrames, base: str = N.BASE) -> DataFrame:
     """Classes, datatype and object properties, cardinalities and keys. Blank nodes are named by what they stand for."""
-    c = F.col
+    c, s = F.col, frames.snapshots
     graph = F.concat(F.lit(base + "ontology/"), _pair("/"))
-    where = frames.snapshots.select("snapshot_id", "database_name", "schema_name")
-    s = where
     header = emit(s, graph, graph, [F.lit(0)], [type_of(OWL + "Ontology"), (RDFS + "label", lit(_text("Schema Ontology: ", c("database_name"), " / ", c("schema_name")))), (RDFS + "comment", lit(_text("Classes and properties of ", c("database_name"), " / ", c("schema_name")))), (OWL + "versionInfo", lit("1.0")), (OWL + "imports", iri(base + "vocabulary/datarepository"))])
+    tables = frames.tables.join(s.select("snapshot_id", "database_name", "schema_name"), "snapshot_id")
+    kind = emit(tables, graph, F.lit(base + "tableType"), [F.lit(1)], [type_of(OWL + "AnnotationProperty"), (RDFS + "label", lit("tableType"))])
+    typed = emit(tables, graph, N.class_iri(c("table_name"), base), [F.lit(2), c("table_seq"), F.lit(1)], [(base + "tableType", lit(c("table_type")))])
+    return as_set(union(header, kind, _classes(frames, graph, base), typed))
+
+
+def _classes(frames: SnapshotFrames, graph: Column, base: str) -> DataFrame:
+    """A class for each table, with its properties, cardinalities, keys and checks, in the given graph of each snapshot."""
+    c = F.col
+    where = frames.snapshots.select("snapshot_id", "database_name", "schema_name")
     tables = frames.tables.join(where, "snapshot_id")
     cls = N.class_iri(c("table_name"), base)
-    kind = emit(tables, graph, F.lit(base + "tableType"), [F.lit(1)], [type_of(OWL + "AnnotationProperty"), (RDFS + "label", lit("tableType"))])
-    classes = emit(tables, graph, cls, [F.lit(2), c("table_seq")], [type_of(OWL + "Class"), (RDFS + "label", lit(c("table_name"))), (RDFS + "comment", lit(c("remarks")), N.is_set(c("remarks"))), (base + "tableType", lit(c("table_type")))])
+    classes = emit(tables, graph, cls, [F.lit(2), c("table_seq"), F.lit(0)], [type_of(OWL + "Class"), (RDFS + "label", lit(c("table_name"))), (RDFS + "comment", lit(c("remarks")), N.is_set(c("remarks")))])
     columns = with_keys(frames).join(where, "snapshot_id").where(~F.col("is_fk"))
     prop = N.data_property_iri(c("table_name"), c("column_name"), base)
     order = [F.lit(3), c("table_seq"), c("col_seq")]
@@ -114,7 +131,21 @@ def schema_quads(frames: SnapshotFrames, base: str = N.BASE) -> DataFrame:
     lists = emit(cells, graph, cell(c("pos")), at, [(RDF + "first", iri(N.data_property_iri(c("table_name"), c("column_name"), base))), (RDF + "rest", iri(RDF + "nil"), last), (RDF + "rest", bnode(cell(c("pos") + 1)), ~last)], "bnode")
     has = emit(cells.where("pos = 0"), graph, cls, at, [(OWL + "hasKey", bnode(cell(c("pos"))))])
     checks = emit(frames.checks.join(where, "snapshot_id"), graph, cls, [F.lit(6), c("ck_seq")], [(RDFS + "comment", lit(_text("CHECK[", c("constraint_name"), "]: ", c("check_clause"))))])
-    return as_set(union(header, kind, classes, properties, bounds, sub, objects, lists, has, checks))
+    return union(classes, properties, bounds, sub, objects, lists, has, checks)
+
+
+def single_graph_quads(frames: SnapshotFrames, base: str = N.BASE) -> DataFrame:
+    """Vocabulary, individuals and classes as one graph, with individuals named after their classes and linked by describedBy."""
+    c, s = F.col, frames.snapshots
+    graph = F.concat(F.lit(base), _pair("/"))
+    header = emit(s, graph, graph, [F.lit(0)], [type_of(OWL + "Ontology"), (RDFS + "comment", lit(_text("Ontology of the ", c("database_type"), " schema ", c("schema_name")))), (OWL + "versionInfo", lit("1.0"))])
+    table = F.concat(N.class_iri(c("table_name"), base), F.lit("_TableNode"))
+    column = F.concat(N.class_iri(c("table_name"), base), F.lit("_"), N.pascal(c("column_name")), F.lit("_ColNode"))
+    individuals = _individuals(frames, graph, F.concat(F.lit(base), _pair("_"), F.lit("_Repository")), F.concat(F.lit(base), _pair("_"), F.lit("_Schema")), table, column)
+    tables = frames.tables.join(s.select("snapshot_id", "database_name", "schema_name"), "snapshot_id")
+    described = emit(tables, graph, F.lit(base + "describedBy"), [F.lit(4)], [type_of(OWL + "AnnotationProperty"), (RDFS + "label", lit("describedBy"))])
+    links = emit(tables, graph, N.class_iri(c("table_name"), base), [F.lit(5), c("table_seq")], [(base + "describedBy", iri(table))])
+    return as_set(union(header, _vocabulary(frames, graph), individuals, described, links, _classes(frames, graph, base)))
 
 
 def linking_quads(frames: SnapshotFrames, base: str = N.BASE) -> DataFrame:

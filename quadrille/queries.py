@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import naming, xsd
+from quadrille.graph_queries import graph_queries, graph_sql
 from quadrille.operators import filters, ontology, statements, triples, versions
 from quadrille.operators.evolution import diff
 from quadrille.operators.frames import SnapshotFrames, build
@@ -208,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "version_graph_counts": lambda s, d: triples.counts(versions.version_quads(fixture(s, 3), diff(fixture(s, 2), fixture(s, 3)), 3)).select("graph", "triples"),
     "fk_orphans": lambda s, d: statements.orphans(table(s, d, "lineitem"), "l_orderkey", table(s, d, "orders"), "o_orderkey").select("l_orderkey", "l_linenumber"),
     "unique_violations": lambda s, d: statements.duplicates(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
+    **graph_queries(harvest, fixture),
 }
 
 _X = naming.XSD
@@ -278,4 +280,5 @@ ORACLE_SQL: dict[str, str] = {
     "ntriples_lines": "SELECT TRUE AS whole, (6 + 5 + 2 * 2)::BIGINT AS lines",
     "fk_orphans": "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)",
     "unique_violations": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    **graph_sql(_DESCRIBED, _PASCAL.format, _XSD_CASE, DECLARED, HARVEST),
 }

@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.naming import DR, OWL, RDF, RDFS, SH, XSD
+from quadrille.functions.naming import BASE, DR, OWL, RDF, RDFS, SH, XSD
 
 
 class Format(Enum):
@@ -22,7 +22,7 @@ class Format(Enum):
     TRIG = ("application/trig", "trig")
 
 
-PREFIXES = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "sh": SH, "xsd": XSD, "dr": DR}
+PREFIXES = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "sh": SH, "xsd": XSD, "dr": DR, "schema": BASE}
 
 
 class SerializationError(ValueError):
@@ -57,13 +57,88 @@ def subjects(quads: DataFrame) -> DataFrame:
     return cells.groupBy("graph", "s", "s_kind").agg(F.min("seq").alias("at"), held.alias("cells"))
 
 
-def turtle_blocks(quads: DataFrame) -> DataFrame:
-    """The Turtle text of each subject: predicates joined by semicolons, objects of one predicate by commas."""
+def _compact(text: Column) -> Column:
+    """An IRI in angle brackets as a prefixed name, where a prefix fits and the rest is a plain local name."""
+    out = text
+    for prefix, space in PREFIXES.items():
+        rest = F.substring(text, len(space) + 2, 1 << 30)
+        out = F.when(F.startswith(text, F.lit("<" + space)) & rest.rlike(r"^[A-Za-z_][A-Za-z0-9_]*>$"), F.concat(F.lit(prefix + ":"), F.rtrim(rest, F.lit(">")))).otherwise(out)
+    return out
+
+
+def _turtle_object(x: Column) -> Column:
+    """An object of Turtle: prefixed names for IRIs and datatypes, bare integers and booleans."""
+    bare = F.when((x["o_datatype"] == XSD + "integer") & x["o"].rlike(r"^[+-]?\d+$"), x["o"]).when((x["o_datatype"] == XSD + "boolean") & x["o"].isin("true", "false"), x["o"])
+    typed = F.when(x["o_datatype"] == XSD + "string", x["text"]).otherwise(F.concat(F.lit('"'), _escaped(x["o"]), F.lit('"^^'), _compact(F.concat(F.lit("<"), x["o_datatype"], F.lit(">")))))
+    return F.when(x["o_kind"] == "literal", F.coalesce(bare, typed)).when(x["o_kind"] == "iri", _compact(x["text"])).otherwise(x["text"])
+
+
+def turtle_prefixes() -> str:
+    return "".join(f"@prefix {k}: <{v}> .\n" for k, v in PREFIXES.items())
+
+
+def _turtle_lines(quads: DataFrame) -> DataFrame:
+    """Each subject with its predicates in order and the Turtle text of their objects."""
     by = subjects(quads)
     names = F.array_distinct(F.transform("cells", lambda x: x["p"]))
-    verb = lambda p: F.when(p == RDF + "type", F.lit("a")).otherwise(F.concat(F.lit("<"), p, F.lit(">")))
-    lines = F.transform(names, lambda p: F.concat(verb(p), F.lit(" "), F.array_join(F.transform(F.filter("cells", lambda x: x["p"] == p), lambda x: x["text"]), ", ")))
-    return by.select("graph", "at", "s", F.concat(_node(F.col("s"), F.col("s_kind")), F.lit(" "), F.array_join(lines, ";\n    "), F.lit(" .")).alias("block"))
+    verb = lambda p: F.when(p == RDF + "type", F.lit("a")).otherwise(_compact(F.concat(F.lit("<"), p, F.lit(">"))))
+    held = lambda p: F.transform(F.filter("cells", lambda x: x["p"] == p), _turtle_object)
+    return by.select("graph", "at", "s", "s_kind", _compact(_node(F.col("s"), F.col("s_kind"))).alias("subject"), F.transform(names, lambda p: F.struct(verb(p).alias("verb"), held(p).alias("objects"))).alias("lines"))
+
+
+def turtle_blocks(quads: DataFrame) -> DataFrame:
+    """The Turtle text of each subject below turtle_prefixes(): predicates joined by semicolons, objects of one predicate by commas.
+
+    Each block stands alone, so blank nodes keep their labels and many graphs are written without a collection.
+    """
+    text = F.array_join(F.transform("lines", lambda x: F.concat(x["verb"], F.lit(" "), F.array_join(x["objects"], ", "))), " ;\n    ")
+    return _turtle_lines(quads).select("graph", "at", "s", F.concat("subject", F.lit(" "), text, F.lit(" .")).alias("block"))
+
+
+def _pretty(rows: list) -> list[str]:
+    """The blocks of one graph; a blank node that is an object once is written where it is used, a list of such in parentheses."""
+    nodes = {r["subject"]: r for r in rows if r["s_kind"] == "bnode"}
+    uses: dict[str, int] = {}
+    for r in rows:
+        for x in r["lines"]:
+            for o in x["objects"]:
+                uses[o] = uses.get(o, 0) + (o in nodes)
+    inside = {n for n in nodes if uses.get(n) == 1}
+    first, rest = _short(RDF + "first"), _short(RDF + "rest")
+    written: set[str] = set()
+
+    def items(label: str) -> list[str] | None:
+        """What the list that begins at the node holds; None if the node begins no whole list."""
+        out, seen = [], set()
+        while label != _short(RDF + "nil"):
+            held = {x["verb"]: x["objects"] for x in nodes[label]["lines"]} if label in inside and label not in seen else {}
+            if set(held) != {first, rest} or len(held[first]) != 1 or len(held[rest]) != 1:
+                return None
+            seen.add(label)
+            out.append(held[first][0])
+            label = held[rest][0]
+        written.update(seen)
+        return out
+
+    def term(o: str, depth: int) -> str:
+        if o not in inside or o in written:
+            return o
+        listed = items(o)
+        if listed is not None:
+            return "( " + " ".join(term(x, depth) for x in listed) + " )"
+        written.add(o)
+        return "[ " + body(nodes[o], depth + 1) + " ]"
+
+    def body(r, depth: int) -> str:
+        return f" ;\n{'    ' * depth}".join(f"{x['verb']} {', '.join(term(o, depth) for o in x['objects'])}" for x in r["lines"])
+
+    out = [f"{r['subject']} {body(r, 1)} ." for r in rows if r["subject"] not in inside]
+    # blank nodes that only lead to each other
+    for label in sorted(inside):
+        if label not in written:
+            written.add(label)
+            out.append(f"{label} {body(nodes[label], 1)} .")
+    return out
 
 
 def _short(iri: str) -> str:
@@ -121,13 +196,13 @@ def serialize(quads: DataFrame, form: Format) -> str:
     if form is Format.N_TRIPLES:
         return "".join(r[0] + "\n" for r in ntriples(quads.orderBy(F.col("graph").asc_nulls_first(), "seq")).collect())
     if form in (Format.TURTLE, Format.TRIG):
-        rows = turtle_blocks(quads).orderBy(F.col("graph").asc_nulls_first(), "at").collect()
+        graphs: dict[str | None, list] = {}
+        for r in _turtle_lines(quads).orderBy(F.col("graph").asc_nulls_first(), "at").collect():
+            graphs.setdefault(r["graph"], []).append(r)
         if form is Format.TURTLE:
-            return "\n\n".join(r["block"] for r in rows) + "\n"
-        graphs: dict[str | None, list[str]] = {}
-        for r in rows:
-            graphs.setdefault(r["graph"], []).append("  " + r["block"].replace("\n", "\n  "))
-        return "\n\n".join((f"<{g}> " if g is not None else "") + "{\n" + "\n\n".join(b) + "\n}" for g, b in graphs.items()) + "\n"
+            return turtle_prefixes() + "\n" + "\n\n".join(b for rows in graphs.values() for b in _pretty(rows)) + "\n"
+        named = [(f"<{g}> " if g is not None else "") + "{\n" + "\n\n".join("  " + b.replace("\n", "\n  ") for b in _pretty(rows)) + "\n}" for g, rows in graphs.items()]
+        return turtle_prefixes() + "\n" + "\n\n".join(named) + "\n"
     rows = subjects(quads).orderBy(F.col("graph").asc_nulls_first(), "at").collect()
     return _json_ld(rows) if form is Format.JSON_LD else _rdf_xml(rows)
 
