@@ -113,6 +113,21 @@ ORACLE_SQL: dict[str, str] = {
         named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op5_suffix_dedup": """
+        WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        digits AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM docs),
+        cuts AS (SELECT doc_id, n, c, h[1024 * c + 1:1024 * c + 1422] AS s FROM digits, LATERAL (SELECT unnest(range(0, (n + 511) // 512)) AS c)),
+        windows AS (SELECT doc_id, 512 * c + j AS k, s[2 * j + 1:2 * j + 400] AS g FROM cuts, LATERAL (SELECT unnest(range(0, greatest(0, least(512, n - 199 - 512 * c)))) AS j)),
+        twice AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+        starts AS (SELECT doc_id, k, k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 200 AS apart FROM windows JOIN twice USING (g)),
+        runs AS (SELECT doc_id, k, count(*) FILTER (apart) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM starts),
+        spans AS (SELECT doc_id, min(k) AS a, max(k) + 200 AS z FROM runs GROUP BY doc_id, run),
+        sums AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS z FROM spans GROUP BY doc_id),
+        before AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM spans),
+        pieces AS (SELECT doc_id, string_agg(h[2 * y + 1:2 * a], '' ORDER BY a) AS held FROM before JOIN digits USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(held, '') || h[2 * coalesce(z, 0) + 1:])) AS kept_sha256
+        FROM digits LEFT JOIN sums USING (doc_id) LEFT JOIN pieces USING (doc_id)""",
     "op6_ngram_join": r"""
         WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         shingles AS (SELECT DISTINCT doc_id, w[k:k + 4] AS g FROM docs, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 3))) AS k) WHERE len(w) > 0),

@@ -1,6 +1,9 @@
+from collections import Counter
+import math
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +100,54 @@ def test_quality(spark):
     assert quality.describe(corpus.frame(spark, [])).count() == 0
 
 
+def test_quality_statistics_by_hand(spark):
+    """The statistics of every text, counted with plain Python over its bytes."""
+    marks = {2: b"abcdefghijklmnopqrstuvwxyz", 3: b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4: b"0123456789", 5: b".", 6: b",;:!?'\"()-", 7: b"#$%&*+/<=>@[\\]^_`{|}~", 8: b" \t", 9: b"\n\r"}
+    kind = lambda x: next((k for k, held in marks.items() if x in held), 10 if x >= 128 else 1)
+    odds = lambda part, whole: math.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+
+    def by_hand(text):
+        raw = (text or "").encode()
+        n = Counter(map(kind, raw))
+        w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        threes = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        letters, body = n[2] + n[3] + n[10], len(raw) - n[8] - n[9]
+        of = lambda test: odds(sum(map(test, w)), len(w))
+        again = sum(a == b for a, b in zip(w, w[1:], strict=False))
+        return [
+            math.log1p(len(w)), math.log((body + 1) / (len(w) + 1)), math.log1p(n[9]) - math.log1p(len(w)),
+            odds(n[3], letters), *[odds(n[k], body) for k in (4, 5, 6, 7, 1, 10)],
+            odds(len(set(w)), len(w)), odds(max(Counter(w).values(), default=0), len(w)), odds(len(set(threes)), len(threes)), odds(again, len(w)),
+            of(lambda x: kind(x[-1]) == 7), of(lambda x: kind(x[-1]) == 6), of(lambda x: kind(x[0]) == 3), of(lambda x: len(x) <= 2), of(lambda x: not any(kind(b) in (2, 3, 10) for b in x)),
+        ]
+
+    rows = corpus.texts() + [(200, "One, two. Three THREE three three! (4) 5.0 #6\r\nÜber\tx\x01y"), (201, "...")]
+    got, text = quality.describe(corpus.frame(spark, rows)).collect(), dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.allclose(r["x"], by_hand(text[r["doc_id"]])), text[r["doc_id"]]
+
+
+def test_quality_scores_by_hand():
+    """Scores from the textbook formula: inverse and determinant of the shrunk covariances, no Cholesky factors."""
+    rng = np.random.default_rng(4)
+    y = np.arange(300) % 2
+    x = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6)) * (1 + y[:, None]) + 0.5 * y[:, None]
+    shrinkage = 0.1
+    z = (x - x.mean(0)) / x.std(0)
+    cov = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    target = np.diag(np.diag((cov[0] + cov[1]) / 2))
+
+    def density(k):
+        c, d = (1 - shrinkage) * cov[k] + shrinkage * target, z - z[y == k].mean(0)
+        return -0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.log(np.linalg.det(c))
+
+    model = quality._gaussians(x, y, shrinkage)
+    assert np.allclose(model.margin(x), density(1) - density(0))
+    fitted = quality.fit(x, y, np.arange(300) // 2 % 4)
+    assert np.allclose(fitted.score(x), 1 / (1 + np.exp(-(fitted.slope * fitted.margin(x) + fitted.shift)))) and ((fitted.score(x) > 0.5) == y).mean() > 0.7
+
+
 def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_tokens import FILES, reference

@@ -1,9 +1,12 @@
 import random
+import math
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from quadrille.llm import packing, sharding, token_output
 from quadrille.llm.kernel import buffers, span_hash
@@ -88,6 +91,19 @@ def test_sharding(spark):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 7
     moved = sum(r["grown_shard"] == 7 for r in got) / len(got)
     assert 0.08 < moved < 0.18
+
+    def best(key, weights):
+        """The rule by hand: -weight / ln(u) with u from a 64-bit hash of key and shard; a null key leaves the seed as it is."""
+        scores = []
+        for k, w in enumerate(weights):
+            seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+            u = ((xxhash.xxh64_intdigest(struct.pack("<i", k), seed) >> 11) + 0.5) / 2.0**53
+            scores.append(-w / math.log(u))
+        return scores.index(max(scores))
+
+    assert all((r["shard"], r["grown_shard"]) == (best(r["doc_id"], [1.0] * 7), best(r["doc_id"], [1.0] * 8)) for r in got)
+    uneven = [0.5, 3.0, 1.5]
+    assert all(r["shard"] == best(r["doc_id"], uneven) and r["grown_shard"] == best(r["doc_id"], [*uneven, sum(uneven) / 3]) for r in sharding.shard(corpus.frame(spark, rows), 3, uneven).collect())
     weighted = sharding.shard(corpus.frame(spark, rows), 2, [3.0, 1.0]).where("shard = 0").count() / len(rows)
     assert 0.7 < weighted < 0.8
     assert sharding.shard(corpus.frame(spark, []), 3).count() == 0
