@@ -1,8 +1,10 @@
 """Registries of snapshots: one keyed by time, one by version number, both as Parquet tables of quads.
 
-Quads are partitioned by graph, so a named graph is read by partition pruning. A
-registration writes a fresh partition; the numbered store also rewrites the
-small partition that holds its current flags, since Parquet has no updates.
+Quads are partitioned by graph, so a named graph is read by partition pruning.
+Quads are written first and count only once the row that names them is there, so
+a registration that breaks off leaves nothing to be seen. A version's number is
+claimed by creating a file, which the file system grants to one writer alone;
+numbers are never used twice, but one that was claimed in vain is left out.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import secrets
 import string
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +96,9 @@ class Registry:
         return self._read("records", RECORDS)
 
     def quads(self) -> DataFrame:
-        """The default graph and every shape graph."""
-        return union(record_quads(self.records(), self.base), self._read("quads", QUADS))
+        """The default graph and the shape graph of every record."""
+        records = self.records()
+        return union(record_quads(records, self.base), self._read("quads", QUADS).join(records.select(F.col("shapes").alias("graph")), "graph", "left_semi"))
 
     def graph(self, name: str) -> DataFrame:
         return self._read("quads", QUADS).where(F.col("graph") == name)
@@ -114,8 +118,8 @@ class Registry:
         return history(self.records(), database, schema)
 
 
-def version_quads(frames: SnapshotFrames, changes: DataFrame, version: int, base: str = N.BASE) -> DataFrame:
-    """Registry, snapshot and changes graphs of a numbered version."""
+def version_quads(frames: SnapshotFrames, changes: DataFrame, version: int, base: str = N.BASE, previous: int | None = None) -> DataFrame:
+    """Registry, snapshot and changes graphs of a numbered version; the previous one is the number before it unless it is named."""
     from quadrille.operators.frames import with_keys
 
     c, s = F.col, frames.snapshots.join(frames.counts(), "snapshot_id")
@@ -128,7 +132,7 @@ def version_quads(frames: SnapshotFrames, changes: DataFrame, version: int, base
     parts = [
         emit(s, registry, repo, [F.lit(0)], [type_of(DR + "DataRepository"), *[(DR + p, lit(c(x)), N.is_set(c(x))) for p, x in strings.items()], (DR + "hasSchema", iri(schema))]),
         emit(s, registry, schema, [F.lit(1)], [type_of(DR + "DatabaseSchema"), (DR + "schemaName", lit(sc)), (DR + "hasVersion", iri(node))]),
-        emit(s, registry, node, [F.lit(2)], [type_of(DR + "SchemaVersion"), (DR + "versionNumber", lit(str(version), "int")), (DR + "versionLabel", lit(f"v{version}")), (DR + "snapshotOf", iri(schema)), (DR + "isCurrent", lit("true", "boolean")), (DR + "tableCount", lit(c("table_count"), "int")), (DR + "columnCount", lit(c("column_count"), "int")), (DR + "extractedAt", lit(N.iso_instant(c("extracted_at")), "dateTime")), (DR + "snapshotGraph", iri(snapshot)), *([(DR + "previousVersion", iri(at(f"version_{version - 1}")))] if version > 1 else [])]),
+        emit(s, registry, node, [F.lit(2)], [type_of(DR + "SchemaVersion"), (DR + "versionNumber", lit(str(version), "int")), (DR + "versionLabel", lit(f"v{version}")), (DR + "snapshotOf", iri(schema)), (DR + "isCurrent", lit("true", "boolean")), (DR + "tableCount", lit(c("table_count"), "int")), (DR + "columnCount", lit(c("column_count"), "int")), (DR + "extractedAt", lit(N.iso_instant(c("extracted_at")), "dateTime")), (DR + "snapshotGraph", iri(snapshot)), *([(DR + "previousVersion", iri(at(f"version_{previous or version - 1}")))] if (version if previous is None else previous + 1) > 1 else [])]),
     ]
     where = frames.snapshots.select("snapshot_id", "database_name", "schema_name")
     table = at(F.concat(F.lit("table/"), N.pascal(c("table_name"))))
@@ -154,10 +158,26 @@ class VersionStore(Registry):
     def versions(self) -> DataFrame:
         return with_previous(self._read("versions", VERSIONS))
 
+    def _claim(self, database: str | None, schema: str | None, number: int) -> int:
+        """The first number from the given one on that no other writer has."""
+        jvm = self.spark.sparkContext._jvm
+        folder = f"{self.path}/claims/" + "/".join("n" + (x or "").encode().hex() for x in (database, schema))
+        while True:
+            where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{number}")
+            try:
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(where, False).close()
+                return number
+            except Py4JJavaError as e:
+                if not e.java_exception.getClass().getSimpleName().startswith("FileAlreadyExists"):
+                    raise
+                number += 1
+
     def save(self, frames: SnapshotFrames, changes: DataFrame) -> int:
         snap = frames.snapshots.first()
-        number = next_version(self._read("versions", VERSIONS), snap["database_name"], snap["schema_name"]).first()[0]
-        version_quads(frames, changes, number, self.base).coalesce(1).write.mode("append").partitionBy("graph").parquet(f"{self.path}/quads")
+        database, schema = snap["database_name"], snap["schema_name"]
+        first = next_version(self._read("versions", VERSIONS), database, schema).first()[0]
+        number = self._claim(database, schema, first)
+        version_quads(frames, changes, number, self.base, first - 1).coalesce(1).write.mode("append").partitionBy("graph").parquet(f"{self.path}/quads")
         row = frames.snapshots.join(frames.counts(), "snapshot_id").select("database_name", "schema_name", F.lit(number).alias("version"), "snapshot_id", "extracted_at", "table_count", "column_count", F.lit(changes.count()).alias("change_count"))
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
         return number
@@ -168,8 +188,9 @@ class VersionStore(Registry):
 
     def registry_graph(self, database: str, schema: str) -> DataFrame:
         """The registry graph with isCurrent true for the last version alone; the flag follows from the numbers."""
-        flags = self.versions().where((F.col("database_name") == database) & (F.col("schema_name") == schema)).select(F.concat(self._at(database, schema, "version_"), F.col("version").cast("string")).alias("s"), F.col("is_current").cast("string").alias("flag"))
-        found = self._read("quads", QUADS).where(F.col("graph") == self._at(database, schema, "registry")).join(flags, "s", "left")
+        mine = self.versions().where((F.col("database_name") == database) & (F.col("schema_name") == schema))
+        flags = mine.select(F.concat(self._at(database, schema, "version_"), F.col("version").cast("string")).alias("s"), F.col("is_current").cast("string").alias("flag"))
+        found = self._read("quads", QUADS).where(F.col("graph") == self._at(database, schema, "registry")).join(mine.select("snapshot_id").distinct(), "snapshot_id", "left_semi").join(flags, "s", "left")
         return found.withColumn("o", F.when(F.col("p") == DR + "isCurrent", F.col("flag")).otherwise(F.col("o"))).drop("flag")
 
     def snapshot_graph(self, database: str, schema: str, version: int) -> DataFrame:

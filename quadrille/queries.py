@@ -134,7 +134,7 @@ def _naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = shape_tables(harvest(spark, sf_dir, ["nation"]))
+    shapes = shape_tables(harvest(spark, sf_dir))
     rows = [(d, k, s.kind, s.sql, ",".join(s.params)) for d in xsd.DIALECTS for held in sqltext.statements(shapes, dialect=d).values() for k, s in enumerate(held)]
     return spark.createDataFrame(rows, "dialect string, seq int, kind string, sql string, params string")
 
@@ -225,6 +225,40 @@ _NESTED_SQL = "o_totalprice > 1000 AND (o_orderstatus = 'F' OR o_orderpriority L
 _FKS = "(VALUES " + ", ".join(f"('{t}', '{c}', '{''.join(w.title() for w in pt.split('_'))}')" for _, t, c, pt, _ in DECLARED.foreign_keys) + ") f(table_name, column_name, target)"
 _BASE, _DB = naming.BASE, "EVOLUTION_DB/EVOLUTION_SCHEMA"
 _RECORDS = f"(VALUES ('v1', 2, 8, '2026-01-01T10:00:00Z', '{_BASE}extraction/{_DB}/2026-01-01_10-00-00-000'), ('v2', 3, 12, '2026-03-15T10:00:00Z', '{_BASE}extraction/{_DB}/2026-03-15_10-00-00-000'), ('v3', 3, 12, '2026-06-01T10:00:00Z', '{_BASE}extraction/{_DB}/2026-06-01_10-00-00-000')) r(snapshot_id, table_count, column_count, extracted_at, record)"
+_STATEMENTS = f"""
+    WITH cols AS (SELECT table_name, ordinal_position AS i, {_TP} AS tp, upper(column_name) AS u, column_type, target AS tt, key_column IS NOT NULL AS pk
+        FROM ({_DESCRIBED}) columns LEFT JOIN {_FKS} USING (table_name, column_name) LEFT JOIN (VALUES {", ".join(f"('{t}', '{c}')" for t, held in DECLARED.primary_keys.items() for c in held)}) p(table_name, key_column) ON p.table_name = columns.table_name AND key_column = column_name),
+    named AS (SELECT *, CASE dialect WHEN 'SNOWFLAKE' THEN '' ELSE '"' END AS q,
+        CASE WHEN tt IS NOT NULL OR column_type = 'BIGINT' THEN 'BIGINT' WHEN column_type = 'INTEGER' THEN 'INTEGER' WHEN column_type = 'DOUBLE' THEN CASE dialect WHEN 'SNOWFLAKE' THEN 'DOUBLE' ELSE 'DOUBLE PRECISION' END WHEN column_type = 'TIMESTAMP' THEN CASE dialect WHEN 'SNOWFLAKE' THEN 'TIMESTAMP_NTZ' ELSE 'TIMESTAMP' END ELSE 'VARCHAR' END AS kind
+        FROM cols, (VALUES ('ANSI'), ('SNOWFLAKE'), ('POSTGRESQL')) d(dialect)),
+    parts AS (SELECT dialect, q || tp || q AS t, tp, string_agg('    ' || q || u || q, ',
+' ORDER BY i) AS names, string_agg('    ' || q || u || q || ' ' || kind, ',
+' ORDER BY i) AS definitions, string_agg(u, ',' ORDER BY i) AS all_params,
+        string_agg('    :' || u, ',
+' ORDER BY i) AS binds, string_agg('    ' || q || u || q || ' = :' || u, ',
+' ORDER BY i) FILTER (NOT pk) AS updates, string_agg(u, ',' ORDER BY i) FILTER (NOT pk) AS free, max(u) FILTER (pk) AS key, max(q || u || q) FILTER (pk) AS quoted_key,
+        string_agg(',
+    CONSTRAINT fk_' || tp || '_' || tt || ' FOREIGN KEY (' || q || u || q || ') REFERENCES ' || q || tt || q || ' (' || q || u || q || ')', '' ORDER BY i) FILTER (tt IS NOT NULL) AS links
+        FROM named GROUP BY dialect, tp, q),
+    clauses AS (SELECT *, 'SELECT
+' || names || '
+FROM ' || t AS body, CASE WHEN key IS NULL THEN '
+WHERE /* no primary key defined */' ELSE '
+WHERE ' || quoted_key || ' = :' || key END AS by_key FROM parts)
+    SELECT dialect, 0 AS seq, 'CREATE_TABLE' AS kind, 'CREATE TABLE ' || t || ' (
+' || definitions || coalesce(',
+    CONSTRAINT pk_' || tp || ' PRIMARY KEY (' || quoted_key || ')', '') || coalesce(links, '') || '
+);' AS sql, '' AS params FROM clauses
+    UNION ALL SELECT dialect, 1, 'SELECT_ALL', body || ';', '' FROM clauses
+    UNION ALL SELECT dialect, 2, 'SELECT_BY_PK', body || by_key || ';', coalesce(key, '') FROM clauses
+    UNION ALL SELECT dialect, 3, 'INSERT', 'INSERT INTO ' || t || ' (
+' || names || '
+) VALUES (
+' || binds || '
+);', all_params FROM clauses
+    UNION ALL SELECT dialect, 4, 'UPDATE_BY_PK', 'UPDATE ' || t || ' SET
+' || updates || by_key || ';', free || coalesce(',' || key, '') FROM clauses
+    UNION ALL SELECT dialect, 5, 'DELETE_BY_PK', 'DELETE FROM ' || t || replace(by_key, 'no primary key defined', 'no primary key defined — DELETE ALL') || ';', coalesce(key, '') FROM clauses"""
 _RECORD_ROW = "snapshot_id, table_count::BIGINT AS table_count, column_count::BIGINT AS column_count, extracted_at, record"
 _DIFF_HEAD = "SELECT change_type, table_name, column_name::VARCHAR AS column_name, previous_value::VARCHAR AS previous_value, new_value::VARCHAR AS new_value, change_no::BIGINT AS change_no FROM (VALUES "
 _DIFF_TAIL = ") d(change_no, change_type, table_name, column_name, previous_value, new_value)"
@@ -259,6 +293,7 @@ ORACLE_SQL: dict[str, str] = {
     "harvest_counts": f"SELECT count(DISTINCT table_name) AS table_count, count(*) AS column_count, {len(DECLARED.foreign_keys)}::BIGINT AS fk_count FROM ({_DESCRIBED})",
     "iri_naming": f"SELECT table_name, column_name, '{_BASE}' || {_TP} AS class_iri, '{_BASE}' || {_TP} || '_' || {_CC} AS property_iri, '{_BASE}' || {_TP} || 'Shape/' || {_CC} || 'Shape' AS shape_iri, upper(regexp_replace({_CC}, '([A-Z])', '_\\1', 'g')) AS back FROM ({_DESCRIBED})",
     "xsd_type_counts": f"SELECT {_XSD_CASE} AS xsd, count(*) AS columns FROM ({_DESCRIBED}) GROUP BY 1",
+    "sql_statements": _STATEMENTS,
     "shape_triples": "SELECT * FROM (VALUES ('v1', 86::BIGINT), ('v2', 126::BIGINT), ('v3', 125::BIGINT)) t(snapshot_id, triples)",
     "shape_roundtrip": f"SELECT {_TP} AS table_name, upper(c.column_name) AS column_name, TRUE AS nullable, f.target IS NOT NULL AS is_foreign_key, f.target AS referenced_table FROM (SELECT table_name, column_name FROM ({_DESCRIBED})) c LEFT JOIN {_FKS} USING (table_name, column_name)",
     "shape_constraints": "SELECT 'UNIQUE' AS kind, 'UNIQUE on columns: EMAIL' AS message",

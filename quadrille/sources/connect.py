@@ -136,12 +136,6 @@ def normalised(c: Connection) -> Connection:
     return replace(c, database=database, schema=schema or "public")
 
 
-CHECKS_SQL = {
-    "POSTGRESQL": "SELECT tc.table_name, cc.constraint_name, cc.check_clause FROM information_schema.table_constraints tc JOIN information_schema.check_constraints cc ON cc.constraint_schema = tc.constraint_schema AND cc.constraint_name = tc.constraint_name WHERE tc.table_schema = '{schema}' AND tc.constraint_type = 'CHECK' AND cc.check_clause NOT LIKE '%IS NOT NULL' ORDER BY cc.constraint_name",
-    "SNOWFLAKE": "SELECT tc.table_name, cc.constraint_name, cc.check_clause FROM information_schema.table_constraints tc JOIN information_schema.check_constraints cc ON cc.constraint_schema = tc.constraint_schema AND cc.constraint_name = tc.constraint_name WHERE tc.table_schema = '{schema}' AND tc.constraint_type = 'CHECK'",
-}
-
-
 @dataclass
 class Connectors:
     """Option builders by database type; more may be added."""

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, VarcharType
 
 from quadrille.functions.xsd import rule_name
-from quadrille.operators.frames import SCHEMAS, SnapshotFrames, build
-from quadrille.sources.connect import CHECKS_SQL, Connection, Connectors, normalised
+from quadrille.operators.frames import SCHEMAS, SnapshotFrames, build, local
+from quadrille.sources.connect import Connection, Connectors, normalised
 
 
 @dataclass
@@ -110,30 +112,74 @@ def harvest_frames(spark: SparkSession, snapshot: dict, c: Catalog, include: lis
     return SnapshotFrames(build(spark, snapshot | {"tables": []}).snapshots, tables, columns, pks, fks, uniques, checks)
 
 
-def jdbc_reader(spark: SparkSession, c: Connection, connectors: Connectors | None = None, store=None) -> Callable[[str], DataFrame]:
-    """A function that reads a query over the connection; names and filters are pushed into it."""
+# Columns of a driver's metadata by the part of the catalog that they fill, and the kind of each.
+_METADATA = {
+    "tables": ("table_name string, table_type string, remarks string", ["TABLE_NAME", "TABLE_TYPE", "REMARKS"]),
+    "columns": ("table_name string, column_name string, data_type string, ordinal_position int, nullable boolean, default_value string, column_size int, numeric_scale int, remarks string", ["TABLE_NAME", "COLUMN_NAME", "TYPE_NAME", "ORDINAL_POSITION", "NULLABLE", "COLUMN_DEF", "COLUMN_SIZE", "DECIMAL_DIGITS", "REMARKS"]),
+    "primary_keys": ("table_name string, key_seq int, column_name string", ["TABLE_NAME", "KEY_SEQ", "COLUMN_NAME"]),
+    "imported_keys": ("constraint_name string, fk_table string, fk_column string, pk_table string, pk_column string, update_rule int, delete_rule int", ["FK_NAME", "FKTABLE_NAME", "FKCOLUMN_NAME", "PKTABLE_NAME", "PKCOLUMN_NAME", "UPDATE_RULE", "DELETE_RULE"]),
+    "indexes": ("table_name string, index_name string, non_unique boolean, ordinal_position int, column_name string", ["TABLE_NAME", "INDEX_NAME", "NON_UNIQUE", "ORDINAL_POSITION", "COLUMN_NAME"]),
+}
+
+
+def _rows(found, part: str, schema: str, schema_column: str) -> list[tuple]:
+    """The rows of a metadata result that belong to the schema; its name was a pattern to the driver."""
+    kinds = [x.rpartition(" ")[2] for x in _METADATA[part][0].split(", ")]
+    out = []
+    while found.next():
+        if found.getString(schema_column) == schema:
+            read = [found.getString(name) for name in _METADATA[part][1]]
+            out.append(tuple(x if x is None or k == "string" else int(x) if k == "int" else x.lower() in ("1", "t", "true", "y", "yes") for x, k in zip(read, kinds, strict=True)))
+    found.close()
+    return out
+
+
+def jdbc_catalog(spark: SparkSession, options: dict[str, str], database: str | None, schema: str, include: list[str] | None = None) -> Catalog:
+    """What a database's driver says of its tables: the same calls for every vendor, remarks and unique indexes included.
+
+    A key or index scan that a driver refuses for a table is a warning, and the rest is kept.
+    """
+    jvm, held = spark._jvm, {k: [] for k in _METADATA}
+    jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    properties = jvm.java.util.Properties()
+    for k, v in options.items():
+        if k not in ("url", "driver"):
+            properties.setProperty(k, v)
+    kinds = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 3)
+    kinds[0], kinds[1], kinds[2] = "TABLE", "VIEW", "BASE TABLE"
+    connection = jvm.java.sql.DriverManager.getConnection(options["url"], properties)
+    try:
+        meta = connection.getMetaData()
+        tables = _rows(meta.getTables(database, schema, "%", kinds), "tables", schema, "TABLE_SCHEM")
+        held["tables"] = [(n, "VIEW" if kind == "VIEW" else "TABLE", remarks) for n, kind, remarks in tables if not include or n in include]
+        held["columns"] = _rows(meta.getColumns(database, schema, "%", "%"), "columns", schema, "TABLE_SCHEM")
+        for name, _, _ in held["tables"]:
+            scans = {"primary_keys": lambda: meta.getPrimaryKeys(database, schema, name), "imported_keys": lambda: meta.getImportedKeys(database, schema, name), "indexes": lambda: meta.getIndexInfo(database, schema, name, True, True)}  # noqa: B023
+            for part, scan in scans.items():
+                try:
+                    held[part] += _rows(scan(), part, schema, "FKTABLE_SCHEM" if part == "imported_keys" else "TABLE_SCHEM")
+                except Py4JJavaError as e:
+                    warnings.warn(f"no {part} of {schema}.{name}: {e.java_exception.getMessage()}", stacklevel=2)
+    finally:
+        connection.close()
+    return Catalog(**{k: local(spark, v, _METADATA[k][0]) for k, v in held.items()})
+
+
+def harvest_jdbc(spark: SparkSession, c: Connection, snapshot: dict, include: list[str] | None = None, connectors: Connectors | None = None, store=None) -> SnapshotFrames:
+    """A database's tables, columns, keys, unique indexes and, where it has the standard views for them, CHECK clauses."""
     options = (connectors or Connectors()).options(c, store)
-    return lambda query: spark.read.format("jdbc").options(**options).option("query", query).load()
-
-
-def harvest_jdbc(spark: SparkSession, c: Connection, snapshot: dict, include: list[str] | None = None, read: Callable[[str], DataFrame] | None = None) -> SnapshotFrames:
-    """A database's information schema, read as a handful of queries for all tables at once."""
     c = normalised(c)
-    read = read or jdbc_reader(spark, c)
-    of = f"table_schema = '{c.schema.replace(chr(39), chr(39) * 2)}'"
-    tables = read(f"SELECT table_name, CASE WHEN table_type = 'VIEW' THEN 'VIEW' ELSE 'TABLE' END AS table_type FROM information_schema.tables WHERE {of} AND table_type IN ('BASE TABLE', 'TABLE', 'VIEW')").withColumn("remarks", F.lit(None).cast("string"))
-    columns = read(f"SELECT table_name, column_name, upper(data_type) AS data_type, ordinal_position, is_nullable, column_default AS default_value, coalesce(character_maximum_length, numeric_precision) AS column_size, numeric_scale FROM information_schema.columns WHERE {of}")
-    columns = columns.withColumn("nullable", F.col("is_nullable") == "YES").withColumn("remarks", F.lit(None).cast("string"))
-    usage = f"FROM information_schema.table_constraints t JOIN information_schema.key_column_usage k ON k.constraint_schema = t.constraint_schema AND k.constraint_name = t.constraint_name WHERE t.{of}"
-    pks = read(f"SELECT t.table_name, k.ordinal_position AS key_seq, k.column_name {usage} AND t.constraint_type = 'PRIMARY KEY'")
-    fks = read(f"SELECT t.constraint_name, t.table_name AS fk_table, k.column_name AS fk_column, p.table_name AS pk_table, p.column_name AS pk_column, r.update_rule AS u, r.delete_rule AS d FROM information_schema.table_constraints t JOIN information_schema.key_column_usage k ON k.constraint_schema = t.constraint_schema AND k.constraint_name = t.constraint_name JOIN information_schema.referential_constraints r ON r.constraint_schema = t.constraint_schema AND r.constraint_name = t.constraint_name JOIN information_schema.key_column_usage p ON p.constraint_schema = r.unique_constraint_schema AND p.constraint_name = r.unique_constraint_name AND p.ordinal_position = k.position_in_unique_constraint WHERE t.{of} AND t.constraint_type = 'FOREIGN KEY'")
-    code = lambda x: F.when(x == "CASCADE", 0).when(x == "RESTRICT", 1).when(x == "SET NULL", 2).when(x == "SET DEFAULT", 4).otherwise(3)
-    fks = fks.withColumn("update_rule", code(F.col("u"))).withColumn("delete_rule", code(F.col("d")))
-    indexes = read(f"SELECT t.table_name, t.constraint_name AS index_name, k.ordinal_position, k.column_name {usage} AND t.constraint_type IN ('UNIQUE', 'PRIMARY KEY')").withColumn("non_unique", F.lit(False))
-    frames = harvest_frames(spark, snapshot, Catalog(tables, columns, pks, fks, indexes), include)
-    checks = read(CHECKS_SQL[c.kind].format(schema=c.schema.replace("'", "''")).partition(" ORDER BY")[0])
-    frames.checks = checks.join(frames.tables.select("snapshot_id", "table_name"), "table_name").selectExpr("snapshot_id", "table_name", "cast(row_number() over (partition by table_name order by constraint_name) - 1 as int) as ck_seq", "constraint_name", "check_clause")
-    return frames
+    catalog = jdbc_catalog(spark, options, c.database, c.schema, include)
+    quoted = c.schema.replace("'", "''")
+    read = lambda query: spark.read.format("jdbc").options(**options).option("query", query).load()
+    try:
+        constraints = read(f"SELECT constraint_schema, constraint_name, table_name, constraint_type FROM information_schema.table_constraints WHERE table_schema = '{quoted}'")
+        clauses = read("SELECT constraint_schema, constraint_name, check_clause FROM information_schema.check_constraints")
+        lower = lambda df: df.toDF(*[x.lower() for x in df.columns])
+        catalog.table_constraints, catalog.check_constraints = lower(constraints), lower(clauses)
+    except Py4JJavaError as e:
+        warnings.warn(f"no CHECK clauses of {c.schema}: {e.java_exception.getMessage()}", stacklevel=2)
+    return harvest_frames(spark, snapshot, catalog, include, without_not_null=c.kind != "SNOWFLAKE")
 
 
 #: Harvesters by source kind.

@@ -250,6 +250,47 @@ def test_catalog_frames(spark):
     assert "seen_view" in {r["table_name"] for r in harvest.harvest_catalog(spark, "default").tables.collect()}
 
 
+def test_jdbc_harvest(spark):
+    """Tables, keys, unique indexes and referential rules from a driver's own metadata; views that the database lacks are a warning."""
+    url, driver = "jdbc:derby:memory:harvest", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    jvm = spark._jvm
+    jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    con = jvm.java.sql.DriverManager.getConnection(url + ";create=true")
+    for text in (
+        "CREATE SCHEMA SHOP", "CREATE SCHEMA SH_P", "CREATE TABLE SHOP.CUSTOMERS (ID BIGINT NOT NULL PRIMARY KEY, EMAIL VARCHAR(255) NOT NULL, PRICE DECIMAL(10,2) DEFAULT 0)",
+        "CREATE UNIQUE INDEX SHOP.UQ_EMAIL ON SHOP.CUSTOMERS (EMAIL)", "CREATE TABLE SHOP.ORDERS (A INT NOT NULL, B INT NOT NULL, CUSTOMER_ID BIGINT CONSTRAINT FK_C REFERENCES SHOP.CUSTOMERS ON DELETE CASCADE, PRIMARY KEY (B, A))",
+        "CREATE VIEW SHOP.SEEN AS SELECT ID FROM SHOP.CUSTOMERS", "CREATE TABLE SH_P.OTHER (X INT)",
+    ):
+        con.createStatement().execute(text)
+    con.close()
+    kinds = connect.Connectors({"DERBY": lambda c, store: {"url": url, "driver": driver}})
+    read = lambda schema, include=None: harvest.harvest_jdbc(spark, connect.Connection("DERBY", schema=schema), {"snapshot_id": "s", "schema_name": schema}, include, kinds)
+    with pytest.warns(UserWarning, match="CHECK"):
+        f = read("SHOP")
+    assert [(r["table_name"], r["table_type"]) for r in f.tables.orderBy("table_seq").collect()] == [("CUSTOMERS", "TABLE"), ("ORDERS", "TABLE"), ("SEEN", "VIEW")]
+    columns = {(r["table_name"], r["column_name"]): r for r in f.columns.collect()}
+    price, email = columns["CUSTOMERS", "PRICE"], columns["CUSTOMERS", "EMAIL"]
+    assert (price["data_type"], price["numeric_precision"], price["numeric_scale"], price["default_value"], price["nullable"], price["max_length"]) == ("DECIMAL", 10, 2, "0", True, None)
+    assert (email["max_length"], email["nullable"], email["ordinal_position"]) == (255, False, 2) and len(columns) == 7
+    assert {r["table_name"]: r["columns"] for r in harvest.primary_key_lists(f.primary_keys).collect()} == {"CUSTOMERS": ["ID"], "ORDERS": ["B", "A"]}
+    fk = f.foreign_keys.first()
+    assert (fk["constraint_name"], fk["fk_table"], fk["fk_column"], fk["pk_table"], fk["pk_column"], fk["delete_rule"], fk["update_rule"]) == ("FK_C", "ORDERS", "CUSTOMER_ID", "CUSTOMERS", "ID", "CASCADE", "NO_ACTION")
+    assert ["EMAIL"] in [r["columns"] for r in f.uniques.collect()] and f.checks.count() == 0
+    with pytest.warns(UserWarning):
+        assert [r["table_name"] for r in read("SH_P").tables.collect()] == ["OTHER"] and [r["table_name"] for r in read("SHOP", ["ORDERS"]).columns.collect()] == ["ORDERS"] * 3
+
+
+def test_numbers_of_versions_are_claimed_once(spark, tmp_path):
+    store, frames = versions.VersionStore(spark, f"file://{tmp_path}"), Q.fixture(spark, 1)
+    assert store._claim("EVOLUTION_DB", "EVOLUTION_SCHEMA", 1) == 1  # another writer, who then breaks off
+    changes = diff(None, frames).withColumn("description", F.lit(None).cast("string"))
+    assert store.save(frames, changes) == 2 and store._claim("EVOLUTION_DB", "OTHER", 1) == 1
+    graph = store.registry_graph("EVOLUTION_DB", "EVOLUTION_SCHEMA")
+    assert graph.where(F.col("p") == naming.DR + "previousVersion").count() == 0 and graph.where((F.col("p") == naming.DR + "isCurrent") & (F.col("o") == "true")).count() == 1
+    versions.version_quads(Q.fixture(spark, 2), changes, 3).write.mode("append").partitionBy("graph").parquet(f"{store.path}/quads")  # a save that broke off
+    assert store.registry_graph("EVOLUTION_DB", "EVOLUTION_SCHEMA").count() == graph.count() and store.versions().count() == 1
+
+
 def test_connections(tmp_path):
     C = connect.Connection
     options = connect.Connectors().options
